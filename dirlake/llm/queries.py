@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .chat import op3_chat_format
+from .decontamination import op5_decontamination
 from .packing import op9_packing
 from .token_files import op6_token_files
 
 QUERIES = {
+    "op3_chat_format": op3_chat_format,
+    "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
     "op9_packing": op9_packing,
 }
