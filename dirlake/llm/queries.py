@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .chat import op3_chat_format
 from .decontamination import op5_decontamination
+from .langid import op8_language_id
+from .lm import op10_lm_score
 from .packing import op9_packing
 from .token_files import op6_token_files
 
@@ -11,7 +13,9 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
+    "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {}
