@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .chat import op3_chat_format
 from .decontamination import op5_decontamination
+from .jaccard import op1_ngram_jaccard
 from .langid import op8_language_id
 from .lm import op10_lm_score
 from .packing import op9_packing
 from .token_files import op6_token_files
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_chat_format": op3_chat_format,
     "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
