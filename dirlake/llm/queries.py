@@ -8,10 +8,12 @@ from .jaccard import op1_ngram_jaccard
 from .langid import op8_language_id
 from .lm import op10_lm_score
 from .packing import op9_packing
+from .substrings import op2_suffix_dedup
 from .token_files import op6_token_files
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_chat_format": op3_chat_format,
     "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
