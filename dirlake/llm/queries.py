@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op3_chat_format
 from .decontamination import op5_decontamination
+from .embeddings import op4_embedding_dedup
 from .jaccard import op1_ngram_jaccard
 from .langid import op8_language_id
 from .lm import op10_lm_score
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_chat_format": op3_chat_format,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
     "op8_language_id": op8_language_id,
