@@ -115,7 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096, max
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, PIECE_ARROW, strict=True)], schema=PIECE_ARROW)
 
         for block in T.blocks(batches, "text"):
-            for doc_id, x in zip(block["doc_id"].to_pylist(), encoder.encode([x or "" for x in block["text"].to_pylist()]), strict=True):
+            for doc_id, x in zip(block["doc_id"].to_pylist(), encoder.encode(block["text"]), strict=True):
                 if put(packer.add(doc_id, x + end)) >= 2000:
                     yield batch()
         if put(packer.drain(True)):

@@ -88,7 +88,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
             return pa.RecordBatch.from_pylist([dict(zip(SHARD_ARROW.names, (part, shard, before, list(doc_ids), list(counts), *to_codes(tokens)), strict=True))], SHARD_ARROW)
 
         for block in T.blocks(batches, "text"):
-            coded = encoder.encode([x or "" for x in block["text"].to_pylist()])
+            coded = encoder.encode(block["text"])
             for doc_id, x in zip(block["doc_id"].to_pylist(), coded, strict=True):
                 ids += (x, end)
                 doc_ids.append(doc_id)
