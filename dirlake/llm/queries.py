@@ -7,6 +7,7 @@ from .decontamination import op5_decontamination
 from .embeddings import op4_embedding_dedup
 from .jaccard import op1_ngram_jaccard
 from .langid import op8_language_id
+from .lines import op7_line_dedup
 from .lm import op10_lm_score
 from .packing import op9_packing
 from .substrings import op2_suffix_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_token_files": op6_token_files,
+    "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_lm_score": op10_lm_score,
