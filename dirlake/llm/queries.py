@@ -10,9 +10,12 @@ from .langid import op8_language_id
 from .lines import op7_line_dedup
 from .lm import op10_lm_score
 from .packing import op9_packing
+from .sql import ORACLE_SQL
 from .substrings import op2_suffix_dedup
 from .token_files import op6_token_files
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -25,5 +28,3 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_lm_score": op10_lm_score,
 }
-
-ORACLE_SQL: dict[str, str] = {}
