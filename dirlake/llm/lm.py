@@ -18,6 +18,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,19 @@ def token_block(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return contexts, tokens, first
 
 
+def counted_blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Contexts and tokens of about COUNT_BYTES of text at once."""
+    some, size = [], 0
+    for block in T.blocks(batches, column):
+        some.append(token_block(block[column])[:2])
+        size += pa.compute.sum(pa.compute.binary_length(block[column])).as_py() or 0
+        if size >= COUNT_BYTES:
+            yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
+            some, size = [], 0
+    if some:
+        yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
+
+
 def added(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys, and each array's sums for them."""
     by = np.argsort(keys, kind="stable")
@@ -102,8 +116,8 @@ def word_counts(docs: DataFrame, column: str, n: int) -> DataFrame:
     """Packed rows: a part's words (a) and how often they occur (b, 64 bits)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in T.blocks(batches, column, COUNT_BYTES):
-            words, counts = np.unique(token_block(block[column])[1], return_counts=True)
+        for _, tokens in counted_blocks(batches, column):
+            words, counts = np.unique(tokens, return_counts=True)
             by = np.argsort(part := parts_of(words, n), kind="stable")
             words, counts, part = words[by], counts[by], part[by]
             yield packed([(p, words[s].tobytes(), counts[s].astype("<u8").tobytes(), b"", b"") for p, s in slices(part)])
@@ -120,8 +134,7 @@ def pair_counts(docs: DataFrame, column: str, hot: np.ndarray, n: int) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in T.blocks(batches, column, COUNT_BYTES):
-            u, v, _ = token_block(block[column])
+        for u, v in counted_blocks(batches, column):
             v = v & LOW
             _, at, counts = np.unique(pair_keys(u, v), return_index=True, return_counts=True)
             u, v = u[at], v[at]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from . import text as T
 
 #: Pre-tokens remembered by a worker; beyond, it starts anew.
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 600_000
 _SPACE, _LETTER, _DIGIT, _OTHER, _FOREIGN = range(5)
 CLASS = np.full(256, _FOREIGN, np.uint8)
 CLASS[[9, 10, 13, 32]] = _SPACE
