@@ -258,6 +258,34 @@ def test_lines(spark):
     assert lines.dedup_lines(spark.createDataFrame([], DOCS))[0].count() == 0
 
 
+def gone_lines(spark, rows, **settings):
+    out, name = lines.dedup_lines(spark.createDataFrame(rows, DOCS), **settings)
+    return {(x.doc_id, i) for x in out.collect() for i in x[name]}
+
+
+def test_lines_of_equal_shingles(spark):
+    """Lengths say nothing where the shingles are the same."""
+    rows = [(1, "ha " * 10 + "\n" + "=" * 24), (2, "ha " * 20), (3, "=" * 60)]
+    assert gone_lines(spark, rows) == {(2, 0), (3, 0)}
+
+
+def test_lines_scattered_edits(spark):
+    """Recall of pairs just above the threshold."""
+    r = random.Random(11)
+    rows = []
+    while len(rows) < 1600:
+        x = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(r.randint(12, 60)))
+        y = list(x)
+        for _ in range(max(1, round(len(x) / 46))):
+            y[r.randrange(len(y))] = r.choice("abcdefghijklmnopqrstuvwxyz")
+        y = "".join(y)
+        a, b = ({z[i : i + 5] for i in range(len(z) - 4)} for z in (x, y))
+        if x != y and 80 <= 100 * len(a & b) / len(a | b) < 83:
+            rows += [(len(rows), x), (len(rows) + 1, y)]
+    gone = gone_lines(spark, rows)
+    assert all(i % 2 and at == 0 for i, at in gone) and len(gone) >= 0.99 * 800
+
+
 def brute_phrases(sample, text):
     """Greedy longest matches within lanes of symbols."""
     n = 0
