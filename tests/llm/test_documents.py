@@ -286,6 +286,34 @@ def test_lines_scattered_edits(spark):
     assert all(i % 2 and at == 0 for i, at in gone) and len(gone) >= 0.99 * 800
 
 
+def scattered(r, letters, lengths):
+    """A line without spaces, and the line with an edit in some 46 letters."""
+    x = [r.choice(letters) for _ in range(r.randint(*lengths))]
+    y = list(x)
+    for _ in range(max(1, round(len(x) / 46))):
+        y[r.randrange(len(y))] = r.choice(letters)
+    return "".join(x), "".join(y)
+
+
+def alike(x, y):
+    a, b = ({z[i : i + 5] for i in range(len(z) - 4)} for z in (x, y))
+    return len(a & b) / max(1, len(a | b))
+
+
+def test_lines_without_spaces(spark):
+    r = random.Random(12)
+    han, rows = [chr(0x4E00 + i) for i in range(2000)], []
+    while len(rows) < 1200:
+        x, y = scattered(r, r.choice([han, "0123456789abcdef"]), (60, 300))
+        if x != y and alike(x, y) >= 0.8:
+            rows += [(len(rows), x), (len(rows) + 1, y)]
+    rest = "".join(r.choice(han) for _ in range(60))
+    gone = gone_lines(spark, rows)
+    assert all(i % 2 and at == 0 for i, at in gone) and len(gone) >= 0.99 * 600
+    front = [(1, "1" + rest), (2, "2" + rest)]
+    assert alike(front[0][1], front[1][1]) >= 0.8 and gone_lines(spark, front) == {(2, 0)}
+
+
 def brute_phrases(sample, text):
     """Greedy longest matches within lanes of symbols."""
     n = 0
