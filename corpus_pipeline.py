@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier, or much alike, in the corpus; one that loses all its text goes."""
-    out, removed = dedup_lines(docs)
+    out, removed = dedup_lines(docs, min_chars=1)
     out = out.where((F.size(removed) == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(removed) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
