@@ -22,18 +22,43 @@ from pyspark.sql import types as S
 
 from . import text as T
 
-#: Symbols: gap, then the sample's most frequent letters, then any other letter, then the end of a lane.
-SYMBOLS, LANE = 64, 256
+#: Symbols: gap, then each letter of the samples, then any letter never learnt, then the end of a lane.
+LANE = 256
 #: The sample for each language: documents, and characters of each. It bounds the fit; no statistic comes from it.
 SAMPLE_DOCS, SAMPLE_CHARS = 48, 1024
 FOUND = "lang_pred string, score double"
 
 
+#: Steps are next state * columns, with the phrases ended above so many bits. Larger tables than DENSE are kept sparse.
+ENDED, DENSE = 48, 1 << 22
+
+
+@dataclass
+class Table:
+    """Steps of one language's parse. Columns are its own letters; those it hasn't share one; the last ends a lane."""
+
+    column: np.ndarray  # of each symbol
+    root: np.ndarray  # steps from the root
+    keys: np.ndarray | None  # sorted state * columns + column of the transitions; None if steps has all states and columns
+    steps: np.ndarray
+
+    def follow(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        column = self.column[symbols]
+        at = state + column
+        if self.keys is None:
+            return self.steps[at]
+        k = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        end = (state > 0).astype(np.int64) << ENDED
+        missed = np.where(column == len(self.root) - 1, end, self.root[column] + end)
+        return np.where(self.keys[k] == at, self.steps[k], missed)
+
+
 @dataclass
 class Model:
     languages: list[str]
     fold: np.ndarray  # symbol of each code point
-    tables: list[np.ndarray]  # states x SYMBOLS, flat: next state * SYMBOLS, phrases ended above 28 bits
+    width: int  # number of symbols
+    tables: list[Table]
     bits: list[float]
 
 
@@ -67,31 +92,39 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return to
 
 
-def transitions(symbols: list[int]) -> np.ndarray:
+def transitions(symbols: list[int], width: int) -> Table:
     """Every step of the greedy parse: on a mismatch the phrase ends and the symbol begins the next one."""
     to = automaton(symbols)
-    root = np.full(SYMBOLS, 1 << 28, np.int32)  # an unknown symbol is a phrase of its own
-    for c, s in to[0].items():
-        root[c] = s * SYMBOLS
-    table = np.tile(root + (1 << 28), (len(to), 1)).astype(np.int32)
-    table[0] = root
-    table[:, SYMBOLS - 1] = 1 << 28
-    table[0, SYMBOLS - 1] = 0
-    for s, own in enumerate(to):
-        for c, t in own.items():
-            table[s, c] = t * SYMBOLS
-    return table.ravel()
-
-
-def fold_table(samples: dict[str, str]) -> np.ndarray:
-    common = [c for c, _ in Counter(c for x in samples.values() for c in x.lower() if unicodedata.category(c)[0] == "L").most_common(SYMBOLS - 3)]
-    known = {c: i + 1 for i, c in enumerate(common)}
-    fold = np.zeros(0x110000, np.uint8)
+    own = sorted(to[0])
+    n = len(own) + 2
+    column = np.full(width, n - 2, np.int64)
+    column[own] = np.arange(len(own))
+    column[width - 1] = n - 1
+    root = np.full(n, 1 << ENDED, np.int64)  # an unknown symbol is a phrase of its own
+    root[: len(own)] = [to[0][c] * n for c in own]
+    root[n - 1] = 0
+    keys = np.array([s * n + int(column[c]) for s, x in enumerate(to) for c in x], np.int64)
+    steps = np.array([t * n for x in to for t in x.values()], np.int64)
+    if len(to) * n > DENSE:
+        by = np.argsort(keys)
+        return Table(column, root, keys[by], steps[by])
+    table = np.tile(root + (1 << ENDED), len(to))
+    table[:n] = root
+    table[keys] = steps
+    return Table(column, root, None, table)
+
+
+def fold_table(samples: dict[str, str]) -> tuple[np.ndarray, int]:
+    """The symbol of each code point, and the number of symbols."""
+    learnt = Counter(c for x in samples.values() for c in x.lower() if unicodedata.category(c)[0] == "L")
+    known = {c: i + 1 for i, (c, _) in enumerate(learnt.most_common())}
+    width = len(known) + 3
+    fold = np.zeros(0x110000, np.uint32)
     for code in range(0x110000):
         c = chr(code)
         if unicodedata.category(c)[0] == "L":
-            fold[code] = known.get(c.lower(), SYMBOLS - 2)
-    return fold
+            fold[code] = known.get(c.lower(), width - 2)
+    return fold, width
 
 
 def folded(fold: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,13 +139,13 @@ def folded(fold: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(samples: dict[str, str]) -> Model:
     """samples: labelled text of each language."""
-    fold = fold_table(samples)
+    fold, width = fold_table(samples)
     tables, bits = [], []
     for x in samples.values():
         symbols, _ = folded(fold, [x])
-        tables.append(transitions(symbols.tolist()))
+        tables.append(transitions(symbols.tolist(), width))
         bits.append(float(np.log2(max(2, len(symbols)))))
-    return Model(list(samples), fold, tables, bits)
+    return Model(list(samples), fold, width, tables, bits)
 
 
 def phrases(model: Model, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -120,16 +153,16 @@ def phrases(model: Model, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     lanes = -(-sizes // LANE)
     first = np.cumsum(lanes) - lanes
     within = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    grid = np.full((LANE + 1, int(lanes.sum())), SYMBOLS - 1, np.uint8)
+    grid = np.full((LANE + 1, int(lanes.sum())), model.width - 1, np.uint32)
     grid[within % LANE, np.repeat(first, sizes) + within // LANE] = symbols
     out = np.zeros((len(sizes), len(model.languages)))
     for k, table in enumerate(model.tables):
-        state = np.zeros(grid.shape[1], np.int32)
-        count = np.zeros(grid.shape[1], np.int32)
-        for column in grid:
-            step = table[state + column]
-            count += step >> 28
-            state = step & ((1 << 28) - 1)
+        state = np.zeros(grid.shape[1], np.int64)
+        count = np.zeros(grid.shape[1], np.int64)
+        for symbol in grid:
+            step = table.follow(state, symbol)
+            count += step >> ENDED
+            state = step & ((1 << ENDED) - 1)
         total = np.concatenate([[0], np.cumsum(count)])
         out[:, k] = total[first + lanes] - total[first]
     return out

@@ -382,6 +382,22 @@ def test_language(spark):
     assert langid.sample(labelled) == {"de": " d", "en": " c"}
 
 
+@pytest.mark.parametrize("dense", [langid.DENSE, 0])
+def test_language_large_alphabets(monkeypatch, dense):
+    """Two languages of one large alphabet and the same spacing, beside one of a small alphabet."""
+    monkeypatch.setattr(langid, "DENSE", dense)
+    r = random.Random(5)
+    han, small = [chr(0x4E00 + i) for i in range(600)], [chr(0x430 + i) for i in range(32)] + [chr(0x61 + i) for i in range(26)] + ["ä", "ö", "ü", "é"]
+    vocabulary = {"a": ["".join(r.sample(han, 3)) for _ in range(150)], "b": ["".join(r.sample(han, 3)) for _ in range(150)], "en": ["".join(r.choice(small) for _ in range(5)) for _ in range(150)]}
+    say = lambda k, n: " ".join(r.choice(vocabulary[k]) for _ in range(n))
+    model = langid.fit({k: say(k, 4000 if k == "en" else 700) for k in vocabulary})
+    texts = [(k, say(k, 30)) for k in vocabulary for _ in range(20)]
+    symbols, sizes = langid.folded(model.fold, [x for _, x in texts])
+    found = langid.phrases(model, symbols, sizes) * np.array(model.bits)
+    assert [model.languages[k] for k in found.argmin(axis=1)] == [k for k, _ in texts]
+    assert [x.keys is None for x in model.tables] == [dense > 0] * 3
+
+
 def test_language_held_out(spark):
     """Accuracy on documents that weren't learnt from."""
     folder = "/root/testdata/sf0.01"
