@@ -27,8 +27,11 @@ def columns(df: DataFrame, like: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages of the labelled ones; without a letter (or a text) a document goes. A missing
-    lang becomes the predicted one."""
-    found, name = identify(docs, fit(sample(docs.select("text", "lang", F.col("doc_id").alias("key")))))
+    lang becomes the predicted one; if no document has both text and lang it stays null."""
+    model = fit(sample(docs.select("text", "lang", F.col("doc_id").alias("key"))))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found, name = identify(docs, model)
     kept = found.where(F.col(f"{name}.lang_pred") != "und").withColumn("lang", F.coalesce("lang", f"{name}.lang_pred"))
     return columns(kept, docs)
 

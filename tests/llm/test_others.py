@@ -122,3 +122,11 @@ def test_pipeline(spark, tmp_path):
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
     assert pieces.where(F.octet_length("ids") != 4 * F.col("length")).count() == 0
+
+
+def test_pipeline_without_labels(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame([(1, "a b", None), (2, "12 34", None), (3, None, None), (4, "кот", None), (5, None, "en")], "doc_id long, text string, lang string")
+    got = pipeline.language_id(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted((r.doc_id, r.lang) for r in got.collect()) == [(1, None), (4, None)]
