@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, line dedup, near duplicates, decontamination, packing.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of docs. doc_id identifies a document; rows that repeat one are one
-document from the third stage on. Empty tables pass through all stages.
+one's docs. All but the last return the columns of docs. Rows of the same doc_id and text are one document from
+the third stage on; rows of a null or repeated doc_id with different texts are documents of their own. Empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -46,10 +46,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at any remove, the one with the smallest doc_id."""
-    found = similar_documents(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.alias("docs").join(first.alias("kept"), F.col("docs.doc_id").eqNullSafe(F.col("kept.doc_id")), "left_semi").dropDuplicates(["doc_id"])
+    """Of rows linked at any remove, the one with the smallest doc_id (null last). Equal rows (same doc_id and text) are one."""
+    key = "key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = similar_documents(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("of"))
+    first = keyed.select(key, "doc_id").distinct().join(found, key).groupBy("component_id").agg(F.min(rank).alias("first"))
+    return columns(keyed.join(first.select(F.col("first.of").alias(key)), key, "left_semi").dropDuplicates([key]), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,3 +130,14 @@ def test_pipeline_without_labels(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b", None), (2, "12 34", None), (3, None, None), (4, "кот", None), (5, None, "en")], "doc_id long, text string, lang string")
     got = pipeline.language_id(spark, docs, str(tmp_path))
     assert got.columns == docs.columns and sorted((r.doc_id, r.lang) for r in got.collect()) == [(1, None), (4, None)]
+
+
+def test_pipeline_repeated_ids(spark, tmp_path):
+    """Texts that aren't linked stay, whatever their doc_id."""
+    import corpus_pipeline as pipeline
+
+    rows = [(None, "one text of its own"), (None, "quite another one here"), (1, "a copy of two words more"), (2, "a copy of two words more"), (2, "what no one else has"), (None, "what no one else has"), (3, "same"), (3, "same")]
+    docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, key int")
+    got = pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted({rows[i] for i in (0, 1, 2, 4, 6)}, key=repr)
