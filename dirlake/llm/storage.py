@@ -22,3 +22,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like written, dealt to as many buckets as a shuffle has partitions: joins and groupings by key need no exchange."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # an external one: its files stay, and found knows the buckets
+    return found

@@ -343,6 +343,24 @@ def test_short_lines(spark, tmp_path):
     assert {(0, 3), (1, 3), (3, 0), (5, 0)} <= gone
 
 
+def test_lines_of_families(spark):
+    """Variants of lines that aren't there themselves, and short lines with a character more."""
+    r = random.Random(15)
+    letters, rows = "abcdefghijklmnopqrstuvwxyz     ", []
+    for _ in range(12):
+        base = [r.choice(letters) for _ in range(r.randint(150, 300))]
+        for _ in range(20):
+            x = list(base)
+            for _ in range(r.randint(1, len(x) // 50)):
+                x[r.randrange(len(x))] = r.choice(letters)
+            rows.append((len(rows), "".join(x).strip()))
+    for _ in range(150):
+        x = "".join(r.choice(letters) for _ in range(r.randint(8, 60)))
+        rows += [(len(rows), x), (len(rows) + 1, r.choice([x + "x", "y" + x, x + "xy"]))]
+    gone, want = gone_lines(spark, rows, min_chars=1), brute_all_lines(rows)
+    assert not gone - want and len(gone) >= 0.98 * len(want) and len(want) > 300
+
+
 def brute_phrases(sample, text):
     """Greedy longest matches within lanes of symbols."""
     n = 0
