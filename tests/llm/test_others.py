@@ -87,15 +87,30 @@ def test_full_filter_is_cut_into_chunks(spark, monkeypatch):
     assert {tuple(v)[1:3] for v in embeddings.similar_vectors(df).collect()} == {(39, 0)}
 
 
-def test_recall():
+@pytest.mark.parametrize("words", [1024, 4096])
+def test_recall(words):
     """Of pairs at the threshold, nearly all share a filter."""
     r = np.random.default_rng(5)
     x = r.normal(size=(600, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    a, b = embeddings.filters(x, 1024, 48), embeddings.filters(near(r, x, 0.93), 1024, 48)
+    a, b = embeddings.filters(x, words, 48), embeddings.filters(near(r, x, 0.93), words, 48)
     assert np.mean([bool(set(p) & set(q)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]) >= 0.99
 
 
+def test_many_vectors_of_a_label(spark):
+    """Numbers of links of a label with thousands of vectors, against all pairs."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(5000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.concatenate([x, near(r, x[:1500], 0.95), near(r, x[:500], 0.931), near(r, np.repeat(x[4000:4010], 50, axis=0), 0.98)])
+    schema = "vec_id long, embedding array<double>, label int"
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], schema)
+    got = {v.vec_id: v.n_links for v in embeddings.similar_vectors(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = [int((unit @ v >= 0.93).sum()) - 1 for v in unit]
+    assert sum(got.values()) >= 0.99 * sum(want) and all(got[i] <= n for i, n in enumerate(want))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipeline
 
