@@ -56,7 +56,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int)
         return tuple(np.empty(0, np.int64) for _ in range(5))
     sums = T.prefix_sums(data)
     at = np.arange(len(data) - gram + 1)
-    hashes = T.mix((sums[gram:] - sums[:-gram]) * T.powers(len(sums))[1][: len(at)])
+    hashes = T.span_hashes(sums, slice(0, len(at)), slice(gram, None))
     least = sliding_least(hashes & ~np.uint64(0xFFFFFFFF) | at.astype(np.uint64), length - gram + 1)
     anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     sizes = np.maximum(0, np.diff(offsets) - length + 1)

@@ -1,7 +1,7 @@
 """Words and hashes of whole Arrow text columns, computed on bytes with numpy inside Spark tasks.
 
-Hash of a byte string: sum of TABLE[byte] * BASE^position modulo 2^64, taken from prefix sums, so that the hash
-of any span costs one subtraction; a finaliser then spreads the bits. Equal spans have equal hashes.
+Hash of a byte string: sum of (byte + 1) * BASE^position modulo the prime 2^61 - 1, taken from prefix sums, so that the
+hash of any span costs one subtraction and one product; a finaliser then spreads the bits. Equal spans have equal hashes.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer document makes a block of its own.
 BLOCK_BYTES = 1 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PRIME = np.uint64((1 << 61) - 1)
+BASE = 0x9E3779B97F4A7C15 % int(PRIME)
+#: Bytes whose sums are exact in 64 bits.
+EXACT = 1 << 22
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Places of the words in a shingle get their own odd factors.
@@ -34,31 +35,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo PRIME."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, from halves of 32 bits."""
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    a_low, a_high, b_low, b_high = a & low, a >> half, b & low, b >> half
+    middle = a_high * b_low + a_low * b_high
+    shifted = ((middle & np.uint64((1 << 29) - 1)) << half) + (middle >> np.uint64(29))
+    return reduced(reduced(a_low * b_low) + shifted + np.uint64(8) * (a_high * b_high))
+
+
 @lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for base in (BASE, INVERSE):
-        p = np.full(n, base, np.uint64)
-        p[:1] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
+    for base in (BASE, pow(BASE, -1, int(PRIME))):
+        p = np.ones(n, np.uint64)
+        size = 1
+        while size < n:
+            p[size : 2 * size] = product(p[:size], np.uint64(pow(base, size, int(PRIME))))
+            size *= 2
+        out.append(p)
     return out[0], out[1]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i for i < n."""
+    """BASE^i and BASE^-i modulo PRIME for i < n."""
     a, b = _powers(1 << max(21, int(n).bit_length()))
     return a[:n], b[:n]
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] the unshifted hash of data[i:j]."""
+    """P with P[j] - P[i], modulo PRIME, the unshifted hash of data[i:j]."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(TABLE[data] * powers(len(data))[0], out=out[1:])
+    own = powers(len(data))[0]
+    for at in range(0, len(data), EXACT):
+        s = slice(at, min(len(data), at + EXACT))
+        value = data[s].astype(np.uint64) + np.uint64(1)
+        low, high = np.cumsum(value * (own[s] & np.uint64(0xFFFFFFFF))), np.cumsum(value * (own[s] >> np.uint64(32)))
+        shifted = ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)) + (high >> np.uint64(29))
+        out[at + 1 : s.stop + 1] = reduced(reduced(low) + shifted + out[at])
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
+def span_hashes(sums: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
+    a, b = sums[starts], sums[ends]
+    return mix(product(np.where(b >= a, b - a, b + PRIME - a), powers(len(sums))[1][starts]))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

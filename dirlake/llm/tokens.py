@@ -76,18 +76,20 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        """Known pre-tokens: their hashes in order, and where their ids begin and end in one array."""
+        """Known pre-tokens: their hashes in order, their bytes, and where their ids begin and end in one array."""
         self.keys, self.begin, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.known = np.empty(0, object)
 
-    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         """Encodes pre-tokens in one text; each ends with the one token that closes a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.uint32)
         ends = np.nonzero(self.ends[ids])[0] + 1
         if len(ends) != len(words):
             raise ValueError("pre-tokens and ends of words differ in number")
         begin = np.concatenate([[0], ends[:-1]])
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
+        self.known = np.insert(self.known, at, np.array([*words, b""], object)[:-1])
         self.begin = np.insert(self.begin, at, begin + len(self.ids))
         self.size = np.insert(self.size, at, ends - begin)
         self.ids = np.concatenate([self.ids, ids])
@@ -118,10 +120,13 @@ class WordEncoder:
             self.forget()
         k = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         new = self.keys[k] != keys if len(self.keys) else np.ones(len(keys), bool)
+        raw = low.tobytes()
+        own = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         if new.any():
-            raw = low.tobytes()
-            self.learn(keys[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self.learn(keys[new], [x for x, n in zip(own, new.tolist(), strict=True) if n])
             k = np.searchsorted(self.keys, keys)
+        if any(x != y for x, y in zip(own, self.known[k].tolist(), strict=True)) or ((ends - starts) != (ends - starts)[first][back]).any():  # equal hashes of different strings
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([x or "" for x in column.to_pylist()], add_special_tokens=False)]
         k = k[back]
         size = self.size[k]
         until = np.concatenate([[0], np.cumsum(size)])

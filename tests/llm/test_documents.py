@@ -466,6 +466,41 @@ def test_lm_without_training(spark):
         lm.train(spark.createDataFrame([], "text string"), folder="hdfs://x/y")
 
 
+def thue_morse(n=1024):
+    x = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_strings_that_collide_modulo_powers_of_two(spark):
+    from dirlake.llm import text as T
+
+    x, y = thue_morse()
+    hashes, _, _ = T.words(*T.text_bytes(pa.array([x, y, x])), T.SPACED)
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+    df = spark.createDataFrame([(1, x), (2, y)], DOCS)
+    assert {r.component_id for r in jaccard.similar_documents(df).collect()} == {1, 2}
+    coder = tokens.WordEncoder(tokens.default_path())
+    assert coder.encode(pa.array([x, y])) == [i for _, i in ((0, np.array(coder.tokenizer.encode(z, add_special_tokens=False).ids, "<u4").tobytes()) for z in (x, y))]
+    out, name = decontamination.find_passages(df, spark.createDataFrame([(7, x)], "item_id long, text string"))
+    assert {r.doc_id: r[name]["items"] for r in out.collect()} == {1: ["7"], 2: []}
+    got = lm.score(df, lm.train(df.where("doc_id = 1").select("text"))).collect()
+    assert {r.doc_id: r.n_known for r in got} == {1: 2, 2: 1}
+
+
+def test_sums_of_long_texts(monkeypatch):
+    """Sums carried on from one exact stretch to the next."""
+    from dirlake.llm import text as T
+
+    data = np.frombuffer(b"abcab\xff\x00abcab", np.uint8)
+    whole = T.prefix_sums(data)
+    monkeypatch.setattr(T, "EXACT", 3)
+    assert (T.prefix_sums(data) == whole).all()
+    p, want = int(T.PRIME), 0
+    for i, c in enumerate(data.tolist()):
+        want = (want + (c + 1) * pow(T.BASE, i, p)) % p
+    assert int(whole[-1]) == want
+
+
 def test_hashes_of_words():
     from dirlake.llm import text as T
 
