@@ -4,8 +4,9 @@ An id is cut into chunks of 8 bits, lowest first. Level k keeps, one byte each,
 one, a bitmap telling which of these ids go on, and a rank directory: the number of set bits before every block of
 512 bits. Token i is read from one byte a level: chunk i, then, if its bit is set, chunk rank(i) of the next level.
 
-A shard is a row of a Parquet table in the shared folder: ids of whole documents, in ascending doc_id. Range
-partitioning keeps the order over all shards; the places of the shards follow from one total for each partition.
+A shard is a row of an uncompressed Parquet table: ids of whole documents, in ascending doc_id. Range partitioning
+keeps the order over all shards. A second table has each partition's first place. To read one token, `read_token`
+finds its partition there, then its shard by the statistics of small pages, and one byte a level in it.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from .storage import shared_dir
 from .tokens import default_path, word_encoder
 
 #: Tokens after which a shard ends (at the end of a document), and bits for each entry of a rank directory.
-SHARD_TOKENS, RANK_BITS = 1 << 18, 512
-SHARD = "part int, shard int, before long, doc_ids array<bigint>, doc_tokens array<bigint>, levels array<binary>, goes_on array<binary>, ranks array<binary>"
-SHARD_ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("levels", pa.list_(pa.binary())), ("goes_on", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
+SHARD_TOKENS, RANK_BITS = 1 << 13, 512
+#: Pages of few shards, and row groups of a few MB: what reading a token takes from disk.
+LAYOUT = {"compression": "uncompressed", "parquet.block.size": str(4 << 20), "parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "8"}
+SHARD = "part int, shard int, before long, until long, doc_ids array<bigint>, doc_tokens array<bigint>, levels array<binary>, goes_on array<binary>, ranks array<binary>"
+SHARD_ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("before", pa.int64()), ("until", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("levels", pa.list_(pa.binary())), ("goes_on", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
 READ_ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("before", pa.int64()), ("ids", pa.binary())])
 
 
@@ -72,7 +75,7 @@ def from_codes(levels: list[bytes], goes_on: list[bytes]) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
-    """Writes the ids of docs (doc_id, text), each document followed by end_id, to a table of shards at path.
+    """Writes the ids of docs (doc_id, text), each document followed by end_id, to tables at path: shards and parts.
 
     A null text counts as empty; rows that share a doc_id stand in the order of their texts; a null doc_id comes first.
     """
@@ -81,11 +84,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
-        shard, before, ids, doc_ids, counts = 0, 0, [], [], []
+        shard, before, until, ids, doc_ids, counts = 0, 0, 0, [], [], []
 
         def done() -> pa.RecordBatch:
             tokens = np.frombuffer(b"".join(ids), "<u4")
-            return pa.RecordBatch.from_pylist([dict(zip(SHARD_ARROW.names, (part, shard, before, list(doc_ids), list(counts), *to_codes(tokens)), strict=True))], SHARD_ARROW)
+            return pa.RecordBatch.from_pylist([dict(zip(SHARD_ARROW.names, (part, shard, before, until, list(doc_ids), list(counts), *to_codes(tokens)), strict=True))], SHARD_ARROW)
 
         for block in T.blocks(batches, "text"):
             coded = encoder.encode(block["text"])
@@ -93,25 +96,41 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
                 ids += (x, end)
                 doc_ids.append(doc_id)
                 counts.append(len(x) // 4 + 1)
-                if (n := sum(counts) if len(counts) % 64 == 0 or len(x) > SHARD_TOKENS else 0) >= SHARD_TOKENS:
+                until += counts[-1]
+                if until - before >= SHARD_TOKENS:
                     yield done()
-                    shard, before = shard + 1, before + n
+                    shard, before = shard + 1, until
                     ids, doc_ids, counts = [], [], []
         if counts:
             yield done()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(shards, SHARD).write.parquet(path)
+    docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(shards, SHARD).write.options(**LAYOUT).parquet(f"{path}/shards")
+    table = spark.read.schema(SHARD).parquet(f"{path}/shards")
+    totals = {r.part: r.n for r in table.groupBy("part").agg(F.max("until").alias("n")).collect()}  # a row for each partition written
+    starts = np.cumsum([0, *(totals[p] for p in sorted(totals))]).tolist()
+    rows = [(p, starts[i], starts[i + 1]) for i, p in enumerate(sorted(totals))]
+    spark.createDataFrame(rows, PARTS).coalesce(1).write.parquet(f"{path}/parts")
+
+
+PARTS = "part int, start long, stop long"
+
+
+def read_token(spark: SparkSession, path: str, i: int) -> int:
+    """The id at place i of all tokens at path; reads the pages that may hold its shard."""
+    part = spark.read.schema(PARTS).parquet(f"{path}/parts").where((F.col("start") <= i) & (F.col("stop") > i)).first()
+    if part is None:
+        raise IndexError(i)
+    at = i - part.start
+    shard = spark.read.schema(SHARD).parquet(f"{path}/shards").where((F.col("part") == part.part) & (F.col("before") <= at) & (F.col("until") > at)).select("before", "levels", "goes_on", "ranks").first()
+    return token_at([bytes(x) for x in shard.levels], [bytes(x) for x in shard.goes_on], [bytes(x) for x in shard.ranks], at - shard.before)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), ids (binary, little-endian unsigned 32-bit) of each document at path."""
-    table = spark.read.schema(SHARD).parquet(path)
-    totals = {r.part: r.n for r in table.groupBy("part").agg(F.sum(F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()}  # a row for each partition written
-    bases, at = [], 0
-    for part in range(max(totals, default=-1) + 1):
-        bases.append(at)
-        at += totals.get(part, 0)
+    table = spark.read.schema(SHARD).parquet(f"{path}/shards").drop("until")
+    parts = {r.part: r.start for r in spark.read.schema(PARTS).parquet(f"{path}/parts").collect()}  # a row for each partition written
+    bases = [parts.get(p, 0) for p in range(max(parts, default=-1) + 1)]
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
