@@ -169,7 +169,7 @@ def phrases(model: Model, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Labelled text (text, lang, key) of each language: of the `docs` rows with the least hashes of key, `chars` each."""
+    """Labelled text (text, lang, key) of each language: of the `docs` rows with the least hashes of key, `chars` each, from a place drawn by hash."""
     usable = labelled.where("lang is not null and text is not null and key is not null")
     counts = usable.groupBy("lang").count().collect()  # a row for each language
     if not counts:
@@ -178,7 +178,8 @@ def sample(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHA
     few = usable.withColumn("h", F.xxhash64("key")).where(F.pmod("h", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "key", "text"))).where(F.col("n") <= docs)
     out: dict[str, str] = {}
-    for r in few.select("lang", F.substring("text", 1, chars).alias("text")).orderBy("lang", "n").collect():  # at most docs * chars for each language
+    start = F.pmod(F.xxhash64("h", "key"), F.greatest(F.char_length("text") - chars, F.lit(0)) + 1).cast("int") + 1
+    for r in few.select("lang", F.substring("text", start, F.lit(chars)).alias("text")).orderBy("lang", "n").collect():  # at most docs * chars for each language
         out[r.lang] = out.get(r.lang, "") + " " + r.text
     return out
 
