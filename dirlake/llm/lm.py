@@ -6,7 +6,8 @@ sorted hashes and counts. A part of the model is one sorted array of hashes with
 files of the shared folder, which workers map into memory and search with sorted queries.
 
 Pairs go to the part of their first word, so that a context's statistics form in one place; pairs of first words with
-over a thousandth of all tokens (at most a thousand words) are dealt by both words, and their statistics added up.
+over a thousandth of all tokens, or a quarter of a part's share of them, are dealt by both words, and their statistics
+added up.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from .storage import shared_dir, written
 
 BEGIN, END = np.uint64(0x5BF03635D1E2A3B1), np.uint64(0xC2B2AE3D27D4EB4F)
 LOW = np.uint64((1 << 48) - 1)
-COUNT_BYTES = 8 << 20
+#: Bytes of text that are counted at once, that a part of the model stands for (about), and that are scored at once.
+COUNT_BYTES, PART_BYTES, SCORE_BYTES = 8 << 20, 32 << 20, 2 << 20
 PACKED = "part int, a binary, b binary, c binary, d binary"
 PACKED_ARROW = pa.schema([("part", pa.int32()), *((x, pa.binary()) for x in "abcd")])
 
@@ -166,7 +168,7 @@ def discounts(n: list[int]) -> list[float]:
     return [min(k + 0.99, max(0.01, k + 1 - (k + 2) * y * n[k + 1] / n[k])) for k in range(3)]
 
 
-def train(docs: DataFrame, column: str = "text", folder: str | None = None) -> dict:
+def train(docs: DataFrame, column: str = "text", folder: str | None = None, part_bytes: int = PART_BYTES) -> dict:
     """Counts docs' texts (null: empty) and writes the model; returns what scoring needs. folder must be a path that
     driver and workers share and can open (by default one below spark.checkpoint.dir, if that is a file path)."""
     spark = docs.sparkSession
@@ -176,7 +178,7 @@ def train(docs: DataFrame, column: str = "text", folder: str | None = None) -> d
     folder = urlparse(folder).path
     os.makedirs(folder)
     size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // COUNT_BYTES))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
     words = word_counts(docs, column, n)
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +192,9 @@ def train(docs: DataFrame, column: str = "text", folder: str | None = None) -> d
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
-                yield pa.record_batch([pa.array(np.frombuffer(a, "<i8")[np.frombuffer(b, "<u8") > n_tokens // 1000])], names=["word"])
+                yield pa.record_batch([pa.array(np.frombuffer(a, "<i8")[np.frombuffer(b, "<u8") > n_tokens // max(1000, 4 * n)])], names=["word"])
 
-    hot = np.array(sorted(r.word for r in words.mapInArrow(frequent, "word long").collect()), np.int64).view(np.uint64)  # at most a thousand
+    hot = np.array(sorted(r.word for r in words.mapInArrow(frequent, "word long").collect()), np.int64).view(np.uint64)  # at most a thousand, or four for each part
     hot = np.append(hot, BEGIN)
 
     def pairs(key: tuple, table: pa.Table) -> pa.Table:
@@ -204,7 +206,7 @@ def train(docs: DataFrame, column: str = "text", folder: str | None = None) -> d
         at = np.nonzero(np.diff(keys[by], prepend=keys[by[:1]] + np.uint64(1)))[0]
         counts, u, v, keys = np.add.reduceat(counts[by], at), u[by[at]], v[by[at]], keys[by[at]]
         save(f"{folder}/pairs-{key[0].as_py()}.keys.npy", keys)
-        save(f"{folder}/pairs-{key[0].as_py()}.counts.npy", counts.astype(np.uint32))
+        save(f"{folder}/pairs-{key[0].as_py()}.counts.npy", counts.astype(np.uint64))
         rows = [(-1, b"", b"", np.bincount(np.minimum(counts, 5), minlength=6)[:5].astype("<i8").tobytes(), np.int64(len(counts)).tobytes())]
         v, followed = added(v, np.ones(len(v), np.int64))
         rows += [(p, low_bytes(v[s]), u4(followed[s]), b"", b"") for p, s in slices(parts_of(v, n))]  # parts rise with v
@@ -226,17 +228,17 @@ def train(docs: DataFrame, column: str = "text", folder: str | None = None) -> d
         kinds = read_u4(pick("d", 1)).reshape(-1, 3)
         contexts, *kinds = added(contexts, *kinds.T)
         keys = np.union1d(words, contexts)
-        values = np.zeros((len(keys), 6), np.uint32)
+        values = np.zeros((len(keys), 5), np.int64)
         at = np.searchsorted(keys, words)
-        values[at, 0], values[at, 1] = counts & 0xFFFFFFFF, counts >> 32
+        values[at, 0] = counts
         if len(lows):
             k = np.minimum(np.searchsorted(lows, words & LOW), len(lows) - 1)
-            values[at, 2] = np.where(lows[k] == words & LOW, followed[k], 0)
+            values[at, 1] = np.where(lows[k] == words & LOW, followed[k], 0)
         for j, x in enumerate(kinds):
-            values[np.searchsorted(keys, contexts), 3 + j] = x
+            values[np.searchsorted(keys, contexts), 2 + j] = x
         save(f"{folder}/words-{key[0].as_py()}.keys.npy", keys)
         save(f"{folder}/words-{key[0].as_py()}.values.npy", values)
-        seen = np.bincount(np.minimum(values[at, 2], 5).astype(np.int64), minlength=6)[:5]
+        seen = np.bincount(np.minimum(values[at, 1], 5).astype(np.int64), minlength=6)[:5]
         return pa.table({"n": [seen.tolist()]}, schema=pa.schema([("n", pa.list_(pa.int64()))]))
 
     both = words.withColumn("kind", F.lit(0)).unionByName(statistics.where("part >= 0").withColumn("kind", F.lit(1)))
@@ -252,7 +254,7 @@ def train(docs: DataFrame, column: str = "text", folder: str | None = None) -> d
     return {"folder": folder, "parts": n, "hot": hot, "tokens": n_tokens, "vocabulary": vocabulary, "pairs": n_pairs, "d_pairs": discounts(of_pairs[1:].tolist()), "d_words": d_words, "left": left if n_pairs else 1.0}
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 14)  # systems bound the mappings of a process
 def _mapped(path: str) -> np.ndarray | None:
     return np.load(path, mmap_mode="r") if os.path.exists(path) else None
 
@@ -276,15 +278,15 @@ def log_probabilities(model: dict, u: np.ndarray, v: np.ndarray) -> tuple[np.nda
     """log10 of each token's probability after its context, and the token's count."""
     n, folder, v_low = model["parts"], model["folder"], v & LOW
     words, at = np.unique(np.concatenate([v, u, [END]]), return_inverse=True)
-    values = look_up(folder, "words", "values", parts_of(words, n), words, 6)
-    counts, of_v, of_u = values[:, 0] + (values[:, 1] << 32), at[: len(v)], at[len(v) : -1]
+    values = look_up(folder, "words", "values", parts_of(words, n), words, 5)
+    counts, of_v, of_u = values[:, 0], at[: len(v)], at[len(v) : -1]
     grade = lambda c, d: np.array([0.0, *d])[np.minimum(c, 3)]
-    followed = values[of_v, 2]
+    followed = values[of_v, 1]
     lower = (followed - grade(followed, model["d_words"])) / max(1, model["pairs"]) + model["left"] / (model["vocabulary"] + 1)
     keys, first, back = np.unique(pair_keys(u, v_low), return_index=True, return_inverse=True)
     pairs = look_up(folder, "pairs", "counts", pair_parts(u[first], v_low[first], model["hot"], n), keys, 1)[back, 0]
     total = np.where(u == BEGIN, counts[at[-1]], counts[of_u])
-    gamma = np.where(total > 0, (values[of_u, 3:] * model["d_pairs"]).sum(axis=1) / np.maximum(total, 1), 1.0)
+    gamma = np.where(total > 0, (values[of_u, 2:] * model["d_pairs"]).sum(axis=1) / np.maximum(total, 1), 1.0)
     return np.log10((pairs - grade(pairs, model["d_pairs"])) / np.maximum(total, 1) + gamma * lower), counts[of_v]
 
 
@@ -302,7 +304,7 @@ def score(docs: DataFrame, model: dict, column: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for block in T.blocks(batches, column):
+        for block in T.blocks(batches, column, SCORE_BYTES):
             u, v, first = token_block(block[column])
             logs, counts = log_probabilities(model, u, v)
             base = np.log10((counts + 1) / (model["tokens"] + model["vocabulary"] + 1))

@@ -183,6 +183,11 @@ def test_token_files(spark):
         want.append((i, at, ids))
         at += len(ids) // 4
     assert sorted(got) == sorted(want)
+    flat = np.concatenate([np.frombuffer(x, "<u4") for _, _, x in want])
+    for i in (0, 1, len(flat) // 2, len(flat) - 1):
+        assert token_files.read_token(spark, path, i) == flat[i]
+    with pytest.raises(IndexError):
+        token_files.read_token(spark, path, len(flat))
     path = shared_dir(spark, "t")
     token_files.write_tokens(spark.createDataFrame([], DOCS), path, tokens.default_path())
     assert token_files.read_tokens(spark, path).count() == 0
@@ -458,6 +463,14 @@ def test_lm(spark):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-9)
 
 
+def test_lm_of_many_parts(spark):
+    """The number of parts changes no score."""
+    df = spark.createDataFrame(corpus(8), DOCS)
+    few, many = (sorted(map(tuple, lm.score(df, lm.train(df.select("text"), part_bytes=n)).collect())) for n in (1 << 20, 500))
+    for a, b in zip(few, many, strict=True):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-12)
+
+
 def test_lm_without_training(spark):
     none = lm.train(spark.createDataFrame([], "text string"))
     got = lm.score(spark.createDataFrame([(1, "a b"), (2, None)], DOCS), none).collect()
