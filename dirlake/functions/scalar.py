@@ -120,3 +120,8 @@ def titled(items: Column, field: str) -> Column:
 
 def cleaned(items: Column, fields: list[str]) -> Column:
     return F.transform(items, lambda x: F.struct(*[text_field(x[f]).alias(f) for f in fields]))
+
+
+def listed(ids: Column, one: Column) -> Column:
+    """Whether an array of ids holds one; a missing list or id is never listed."""
+    return F.coalesce(F.array_contains(ids, one), F.lit(False))

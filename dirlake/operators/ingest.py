@@ -51,3 +51,10 @@ def import_report(rows: DataFrame, domestic: tuple[str, ...] = DOMESTIC) -> Data
     """submitted and accepted: rows given, and rows that made a location."""
     taken = location_rows(rows, domestic).select("line_no").withColumn("ok", F.lit(1))
     return rows.join(taken, "line_no", "left").agg(F.count("*").alias("submitted"), F.count("ok").alias("accepted"))
+
+
+def rejected_rows(rows: DataFrame) -> DataFrame:
+    """line_no and error of the rows (line_no, country, ...) that make no location: without a country, or a repeated header."""
+    country = F.lower(form_trim(F.col("country")))
+    error = F.when(is_empty(F.col("country")) | (country == ""), "country").when(country.isin(*HEADERS), "header")
+    return rows.select("line_no", error.alias("error")).where("error is not null")

@@ -30,11 +30,18 @@ def connection(entities: DataFrame, links: DataFrame, terms: DataFrame, taxonomy
     return links.where(F.col("taxonomy") == taxonomy).join(terms.drop("taxonomy"), "term_id").join(entities.withColumnRenamed("id", "entity_id"), "entity_id")
 
 
-def numbered(rows: DataFrame, key: str, pieces: int = 64) -> DataFrame:
+def node(entities: DataFrame, key: str, value: Column) -> DataFrame:
+    """The entity whose id, or slug, has the value; of several the one with the smallest id. No row for a null value."""
+    return entities.where(F.col(key) == value).orderBy("id").limit(1)
+
+
+def numbered(rows: DataFrame, key: str, pieces: int | None = None) -> DataFrame:
     """rows with n: their number from 0 in the order of a numeric key without ties.
 
-    Rows are cut by quantiles of the key, numbered within a piece, and moved by the pieces' counts, so no task gets all.
+    Rows are cut by quantiles of the key into as many pieces as a shuffle has partitions, numbered within a piece, and
+    moved by the pieces' counts, so no task gets all.
     """
+    pieces = pieces or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(rows.approxQuantile(key, [i / pieces for i in range(1, pieces)], 0.2 / pieces)))
     piece = F.lit(0)
     for c in cuts:

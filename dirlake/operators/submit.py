@@ -10,7 +10,8 @@ from dirlake.functions.scalar import email, first_word, is_empty, last_word, str
 from .meta import unpivot
 from .terms import by_slug_or_name, city_and_district
 
-UNNAMED = "(İsimsiz Firma)"
+#: The title of a company without one, and the reply to a submission.
+UNNAMED, RECEIVED = "(İsimsiz Firma)", "Firma başvurunuz alındı. Teşekkürler!"
 
 
 def submit_companies(submissions: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -24,6 +25,11 @@ def submit_companies(submissions: DataFrame, terms: DataFrame) -> tuple[DataFram
     return entity, meta, links
 
 
+def payloads(entities: DataFrame) -> DataFrame:
+    """The reply to each submission that became an entity: success, message, postId."""
+    return entities.select(F.lit(True).alias("success"), F.lit(RECEIVED).alias("message"), F.col("id").alias("postId"))
+
+
 def register_users(registrations: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New accounts, their attribute rows, and rejected registrations (e-mail known, or taken by an earlier id)."""
     own = registrations.withColumn("email", email(F.col("email")))

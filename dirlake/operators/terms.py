@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dirlake.functions.scalar import is_empty, slug
+from dirlake.sources.shared import cut
 
 
 def by_slug_or_name(rows: DataFrame, wanted: str, terms: DataFrame, taxonomy: str, found: str) -> DataFrame:
@@ -39,20 +40,24 @@ def replace_links(links: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(new.select(*links.columns).distinct())
 
 
-def paths(terms: DataFrame, separator: str = " > ", doublings: int = 6) -> DataFrame:
+def paths(terms: DataFrame, separator: str = " > ") -> DataFrame:
     """term_id and path: the names from the root down, by doubling the distance to the ancestor known.
 
-    A term whose parent is missing starts a path. After the given doublings (2^6 levels) a term in a cycle or deeper has
-    a null path.
+    A term whose parent is missing starts a path; one in a cycle, or below it, has a null path. Each doubling is written
+    to the shared folder. While there are terms outside cycles without a path, each gives some of them theirs; so when
+    one gives none, the rest are cycles.
     """
     known = terms.select("term_id").withColumnRenamed("term_id", "_id")
     out = terms.select("term_id", "name", "parent").join(known, F.col("parent") == F.col("_id"), "left").select("term_id", F.col("_id").alias("up"), F.col("name").alias("path"))
-    for _ in range(doublings):
-        if out.where("up is not null").isEmpty():
-            break
-        above = out.select(F.col("term_id").alias("_id"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+    open_before = None
+    while True:
+        out = cut(out, "paths")
+        still_open = out.where("up is not null").count()
+        if still_open in (0, open_before):
+            return out.select("term_id", F.when(F.col("up").isNull(), F.col("path")).alias("path"))
+        open_before = still_open
+        above = out.select(F.col("term_id").alias("_id"), F.col("up").alias("_up"), F.when(F.col("up").isNull() | (F.col("up") != F.col("term_id")), F.col("path")).alias("_path"))
         out = out.join(above, F.col("up") == F.col("_id"), "left").select("term_id", F.col("_up").alias("up"), F.when(F.col("_id").isNull(), F.col("path")).otherwise(F.concat("_path", F.lit(separator), "path")).alias("path"))
-    return out.select("term_id", F.when(F.col("up").isNull(), F.col("path")).alias("path"))
 
 
 def children(terms: DataFrame) -> DataFrame:

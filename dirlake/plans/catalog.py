@@ -286,32 +286,32 @@ def company_details(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "companyType", "isVerified", "mapLat", "phone", F.col("social.linkedin").alias("linkedin"), F.size("workingHours").alias("n_hours"))
 
 
-@query("SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS \"leadType\", o_orderstatus = 'F' AS \"isPremium\", cast(floor(o_totalprice) AS integer) AS \"viewCount\", 0 AS \"offerCount\" FROM orders")
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS \"leadType\", o_orderstatus = 'F' AS \"isPremium\", cast(floor(o_totalprice) AS integer) AS \"viewCount\", 0 AS \"offerCount\", o_orderkey % 2 = 0 AS \"isHiddenName\", cast(o_custkey AS varchar) AS \"budgetString\", '' AS \"expiryDate\", 'x' || o_custkey AS \"deliveryLocation\", '' AS attachment FROM orders")
 def lead_details(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "orders")
-    wide = own.select(F.col("o_orderkey").alias("entity_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("lead_type"), F.when(F.col("o_orderstatus") == "F", F.lit("1")).alias("is_premium"), F.concat(F.floor("o_totalprice").cast("string"), F.lit(" views")).alias("view_count"))
+    wide = own.select(F.col("o_orderkey").alias("entity_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("lead_type"), F.when(F.col("o_orderstatus") == "F", F.lit("1")).alias("is_premium"), F.concat(F.floor("o_totalprice").cast("string"), F.lit(" views")).alias("view_count"), F.when(F.col("o_orderkey") % 2 == 0, "1").otherwise("yes").alias("is_hidden_name"), F.col("o_custkey").cast("string").alias("budget_string"), F.concat(F.lit("x"), F.col("o_custkey").cast("string")).alias("delivery_location"))
     rows = numbered_meta(wide, "entity_id", [c for c in wide.columns if c != "entity_id"])
     found = details.lead_details(own.select(F.col("o_orderkey").alias("id"), F.lit("lead").alias("post_type")), rows)
-    return found.select("id", "status", "leadType", "isPremium", "viewCount", "offerCount")
+    return found
 
 
-@query("SELECT p_partkey AS id, p_name AS \"companyName\", p_type AS \"workType\", p_size = 1 AS \"isFeatured\", '' AS salary FROM part")
+@query("SELECT p_partkey AS id, p_name AS \"companyName\", p_type AS \"workType\", p_size = 1 AS \"isFeatured\", '' AS salary, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS location, cast(p_size AS varchar) AS experience, '' AS education, '' AS deadline FROM part")
 def job_details(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "part")
-    wide = own.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("company_name"), F.col("p_type").alias("work_type"), F.col("p_size").cast("string").alias("is_featured"))
+    wide = own.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("company_name"), F.col("p_type").alias("work_type"), F.col("p_size").cast("string").alias("is_featured"), F.col("p_size").cast("string").alias("experience"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("location"))
     rows = numbered_meta(wide, "entity_id", [c for c in wide.columns if c != "entity_id"])
     found = details.job_details(own.select(F.col("p_partkey").alias("id"), F.lit("career").alias("post_type")), rows)
-    return found.select("id", "companyName", "workType", "isFeatured", "salary")
+    return found
 
 
-@query("SELECT event_id AS id, event_type AS \"eventType\", cast(ts AS varchar) AS \"startDate\", value > 50 AS \"isOfficial\", cast(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS integer) AS n_speakers FROM events")
+@query("SELECT event_id AS id, event_type AS \"eventType\", cast(ts AS varchar) AS \"startDate\", value > 50 AS \"isOfficial\", cast(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS integer) AS n_speakers, CASE WHEN event_id % 2 = 0 THEN event_type END AS speaker, 0 AS n_schedule, '' AS \"endDate\", '' AS \"locationType\", event_type AS venue, cast(event_id AS varchar) AS address, '' AS organizer, 'free' AS price, '' AS \"registrationLink\" FROM events")
 def event_details(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "events")
     speakers = F.to_json(F.array(F.struct(F.col("event_type").alias("name"))))
-    wide = own.select(F.col("event_id").alias("entity_id"), "event_type", F.col("ts").cast("string").alias("start_date"), F.when(F.col("value") > 50, F.lit("1")).alias("is_official"), F.when(F.col("event_id") % 2 == 0, speakers).alias("speakers"))
+    wide = own.select(F.col("event_id").alias("entity_id"), "event_type", F.col("ts").cast("string").alias("start_date"), F.when(F.col("value") > 50, F.lit("1")).alias("is_official"), F.when(F.col("event_id") % 2 == 0, speakers).alias("speakers"), F.col("event_type").alias("venue"), F.col("event_id").cast("string").alias("address"), F.lit("free").alias("price"))
     rows = numbered_meta(wide, "entity_id", [c for c in wide.columns if c != "entity_id"])
     found = details.event_details(own.select(F.col("event_id").alias("id"), F.lit("event").alias("post_type")), rows)
-    return found.select("id", "eventType", "startDate", "isOfficial", F.size("speakers").alias("n_speakers"))
+    return found.select("*", F.size("speakers").alias("n_speakers"), F.get("speakers.name", F.lit(0)).alias("speaker"), F.size("schedule").alias("n_schedule")).drop("speakers", "schedule")
 
 
 @query("SELECT cast(n_nationkey AS bigint) AS term_id, 'city' AS type, cast(n_nationkey AS varchar) AS lat, '' AS lng FROM nation UNION ALL SELECT cast(r_regionkey + 1000 AS bigint), '', '', '' FROM region")
@@ -393,3 +393,51 @@ def get_or_create(spark: SparkSession, d: str) -> DataFrame:
     known = nation_terms(spark, d).where("parent is null").select("term_id", "taxonomy", "name")
     new = spark.createDataFrame([(2000, "location", "ATLANTIS"), (2000, "location", "Atlantis!")], known.schema).where("name = upper(name)")
     return terms.get_or_create(known, nation_terms(spark, d).select("term_id", "taxonomy", "name").unionByName(new))
+
+
+@query("SELECT l_orderkey, max(CASE WHEN l_partkey = l_orderkey % 50 + 1 THEN 1 ELSE 0 END) = 1 AS listed FROM lineitem GROUP BY 1")
+def in_list(spark: SparkSession, d: str) -> DataFrame:
+    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("ids"))
+    return lists.select("l_orderkey", S.listed(F.col("ids"), F.col("l_orderkey") % 50 + 1).alias("listed"))
+
+
+@query("SELECT s_suppkey AS id, s_name AS title, 'id' AS found_by FROM supplier WHERE s_suppkey = 7 UNION ALL SELECT s_suppkey, s_name, 'slug' FROM supplier WHERE " + SLUG_SQL.format("s_name") + " = 'supplier-000000003'")
+def single_node(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), S.slug(F.col("s_name")).alias("slug"))
+    by_id, by_slug = listing.node(own, "id", F.lit(7)), listing.node(own, "slug", F.lit("supplier-000000003"))
+    return by_id.withColumn("found_by", F.lit("id")).unionByName(by_slug.withColumn("found_by", F.lit("slug"))).drop("slug")
+
+
+@query("SELECT s_suppkey AS line_no, CASE s_suppkey % 5 WHEN 0 THEN 'country' ELSE 'header' END AS error FROM supplier WHERE s_suppkey % 5 < 2")
+def csv_rejected(spark: SparkSession, d: str) -> DataFrame:
+    name = F.when(F.col("s_suppkey") % 5 == 0, F.lit(" ")).when(F.col("s_suppkey") % 5 == 1, F.lit("Ülke")).otherwise(F.col("s_name"))
+    lines = table(spark, d, "supplier").select(F.col("s_suppkey").alias("line_no"), F.concat(name, F.lit(",city,,1,2")).alias("line"))
+    return ingest.rejected_rows(parse_lines(lines))
+
+
+@query("SELECT true AS success, 'Firma başvurunuz alındı. Teşekkürler!' AS message, c_custkey AS \"postId\" FROM customer")
+def submit_payloads(spark: SparkSession, d: str) -> DataFrame:
+    return submit.payloads(submit.submit_companies(submissions(spark, d), nation_terms(spark, d))[0])
+
+
+@query("SELECT o_orderkey AS id, o_orderdate AS date FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+def recent_news(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("date"), F.when(F.col("o_orderstatus") == "F", "publish").otherwise("draft").alias("status"), F.when(F.col("o_orderkey") % 3 == 0, "post").otherwise("lead").alias("post_type"))
+    return listing.recent(own.where("post_type = 'post' and status = 'publish'"), "date", "id").select("id", "date")
+
+
+@query(LINES_SQL + """ SELECT path, any_value(level) AS level, arg_min(name, line_no) AS name, arg_max(lat, line_no) FILTER (WHERE lat IS NOT NULL) AS lat, arg_max(lng, line_no) FILTER (WHERE lat IS NOT NULL) AS lng FROM (
+SELECT line_no, rk AS path, 'country' AS level, country AS name, NULL AS lat, NULL AS lng FROM f UNION ALL SELECT line_no, rk || '/' || nk, 'city', city, CASE WHEN NOT home THEN lat END, lng FROM f
+UNION ALL SELECT line_no, rk || '/' || nk || '/' || sk, 'district', district, NULL, NULL FROM f WHERE home) GROUP BY path""")
+def location_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Two halves of the lines, one merged into the other."""
+    lines = supplier_lines(spark, d)
+    first, second = (ingest.location_terms(parse_lines(lines.where(x)), HOME) for x in (F.col("line_no") < 50, F.col("line_no") >= 50))
+    return ingest.merge_locations(first, second).select("path", "level", "name", "lat", "lng")
+
+
+@query("SELECT coalesce(c_custkey, s_suppkey) AS entity_id, 'phone' AS key, coalesce(s_name, c_name) AS value FROM customer FULL JOIN (SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0) ON c_custkey = s_suppkey")
+def attribute_merge(spark: SparkSession, d: str) -> DataFrame:
+    old = numbered_meta(table(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("phone")), "entity_id", ["phone"])
+    patch = meta.unpivot(table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("phone")), "entity_id", ["phone"])
+    return meta.upsert_rows(old, patch).select("entity_id", "key", "value")

@@ -21,7 +21,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return kept.select("line_no", fields(F.regexp_replace("line", "\r$", "")).alias("f")).select("line_no", "f.*")
 
 
-def read_locations(spark: SparkSession, path: str) -> DataFrame:
-    """country, city, district, lat, lng of the files at path, with line_no: a number that rises by file, then place."""
-    rows = spark.read.csv(path, schema=LOCATION_CSV, header=True, multiLine=True, escape='"')
-    return rows.withColumn("line_no", F.monotonically_increasing_id())
+def read_locations(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """country, city, district, lat, lng of the files at path, with line_no, which rises by file name, then place.
+
+    With multi_line a quoted field may hold line feeds, but each file is read by one task; else large files are split.
+    """
+    rows = spark.read.csv(path, schema=LOCATION_CSV, header=True, multiLine=multi_line, escape='"')
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    return rows.select("*", place.alias("line_no"))

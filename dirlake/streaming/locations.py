@@ -14,21 +14,32 @@ from dirlake.sources.csv import parse_lines
 LOCATION = "path string, level string, name string, parent_path string, lat string, lng string"
 
 
-def import_locations(spark: SparkSession, files: str, table: str, checkpoint: str, per_batch: int = 50) -> StreamingQuery:
+def import_locations(spark: SparkSession, files: str, table: str, checkpoint: str, per_batch: int = 50, folder: str | None = None) -> StreamingQuery:
     """Starts importing text files of CSV lines into a catalogue table, per_batch files at a time, until none is left.
 
-    Lines of a batch go by file name, then place. The table is replaced by the merged rows of itself and the batch.
+    Lines of a batch go by file name, then place. The merged rows of the table and the batch are written to a folder of
+    their own, then the table's location is set to it: whenever a run ends, the table is the old or the new one, and a
+    batch that comes again changes nothing. folder (by default below the warehouse) keeps these versions.
     """
     lines = spark.readStream.option("maxFilesPerTrigger", per_batch).text(files).select(F.col("value").alias("line"), F.input_file_name().alias("file"))
 
     def merge(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         new = location_terms(parse_lines(batch.withColumn("line_no", F.struct("file", F.monotonically_increasing_id()))))
-        if session.catalog.tableExists(table):
+        there = session.catalog.tableExists(table)
+        if there:
             new = merge_locations(session.table(table), new)
-        own = f"{table}_{uuid.uuid4().hex[:8]}"
-        new.write.saveAsTable(own)
-        session.sql(f"DROP TABLE IF EXISTS {table}")
-        session.sql(f"ALTER TABLE {own} RENAME TO {table}")
+        versions = folder or f"{session.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{table}-versions"
+        own = f"{versions}/{uuid.uuid4().hex}"
+        new.write.parquet(own)
+        if there:
+            old = session.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first()["data_type"]
+            session.sql(f"ALTER TABLE {table} SET LOCATION '{own}'")
+            session.catalog.refreshTable(table)
+            if f"{table}-versions/" in old:
+                path = session._jvm.org.apache.hadoop.fs.Path(old)
+                path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+        else:
+            session.sql(f"CREATE TABLE {table} USING parquet LOCATION '{own}'")
 
     return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

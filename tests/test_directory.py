@@ -165,3 +165,19 @@ def test_empty_tables(spark):
     assert details.company_details(empty, spark.createDataFrame([], ENTITY_META)).count() == 0
     assert terms.paths(spark.createDataFrame([], TERM)).count() == 0
     assert listing.batches(spark.createDataFrame([], "k long"), "k").count() == 0
+
+
+def test_deep_paths(spark):
+    """A chain of a hundred terms, and what hangs below a cycle."""
+    rows = [(i, "location", str(i), None, i - 1 if i else None) for i in range(100)] + [(200, "location", "x", None, 201), (201, "location", "y", None, 200), (202, "location", "z", None, 201)]
+    paths = {r.term_id: r.path for r in terms.paths(spark.createDataFrame(rows, TERM)).collect()}
+    assert paths[99] == " > ".join(map(str, range(100))) and paths[200] is paths[201] is paths[202] is None
+
+
+def test_order_of_files(spark, tmp_path):
+    """The first spelling is that of the first file by name, the last coordinates those of the last."""
+    for name, city, n, lat in (("a", "PARIS", 1, "1"), ("b", "Paris", 4000, "2"), ("c", "paris", 30, "3")):
+        (tmp_path / f"{name}.csv").write_text("country,city,district,lat,lng\n" + f"Fransa,{city},,{lat},5\n" * n, encoding="utf-8")
+    for multi_line in (True, False):
+        found = {r.path: r for r in ingest.location_terms(read_locations(spark, str(tmp_path), multi_line)).collect()}
+        assert (found["fransa/paris"].name, found["fransa/paris"].lat) == ("PARIS", "3")
