@@ -38,7 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def reduced(x: np.ndarray) -> np.ndarray:
     """64-bit numbers modulo PRIME."""
     x = (x & PRIME) + (x >> np.uint64(61))
-    return np.where(x >= PRIME, x - PRIME, x)
+    return np.minimum(x, x - PRIME)  # below PRIME the difference wraps to a large number
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -46,8 +46,13 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
     a_low, a_high, b_low, b_high = a & low, a >> half, b & low, b >> half
     middle = a_high * b_low + a_low * b_high
-    shifted = ((middle & np.uint64((1 << 29) - 1)) << half) + (middle >> np.uint64(29))
-    return reduced(reduced(a_low * b_low) + shifted + np.uint64(8) * (a_high * b_high))
+    a_low *= b_low
+    out = (a_low & PRIME) + (a_low >> np.uint64(61))
+    out += (middle & np.uint64((1 << 29) - 1)) << half
+    out += middle >> np.uint64(29)
+    a_high *= b_high
+    out += a_high << np.uint64(3)
+    return reduced(out)
 
 
 @lru_cache(maxsize=2)
@@ -76,15 +81,19 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     for at in range(0, len(data), EXACT):
         s = slice(at, min(len(data), at + EXACT))
         value = data[s].astype(np.uint64) + np.uint64(1)
-        low, high = np.cumsum(value * (own[s] & np.uint64(0xFFFFFFFF))), np.cumsum(value * (own[s] >> np.uint64(32)))
-        shifted = ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)) + (high >> np.uint64(29))
-        out[at + 1 : s.stop + 1] = reduced(reduced(low) + shifted + out[at])
+        high = np.cumsum(value * (own[s] >> np.uint64(32)))
+        value *= own[s] & np.uint64(0xFFFFFFFF)
+        low = np.cumsum(value, out=value)  # below 2^62
+        low += (high & np.uint64((1 << 29) - 1)) << np.uint64(32)
+        low += high >> np.uint64(29)
+        low += out[at]
+        out[at + 1 : s.stop + 1] = reduced(low)
     return out
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
-    a, b = sums[starts], sums[ends]
-    return mix(product(np.where(b >= a, b - a, b + PRIME - a), powers(len(sums))[1][starts]))
+    gap = sums[ends] - sums[starts]
+    return mix(product(np.minimum(gap, gap + PRIME), powers(len(sums))[1][starts]))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -86,9 +86,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
         part = TaskContext.get().partitionId()
         shard, before, until, ids, doc_ids, counts = 0, 0, 0, [], [], []
 
-        def done() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(ids), "<u4")
-            return pa.RecordBatch.from_pylist([dict(zip(SHARD_ARROW.names, (part, shard, before, until, list(doc_ids), list(counts), *to_codes(tokens)), strict=True))], SHARD_ARROW)
+        rows: list[tuple] = []
+
+        def done() -> None:
+            rows.append((part, shard, before, until, doc_ids, counts, *to_codes(np.frombuffer(b"".join(ids), "<u4"))))
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            rows.clear()
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, SHARD_ARROW, strict=True)], schema=SHARD_ARROW)
 
         for block in T.blocks(batches, "text"):
             coded = encoder.encode(block["text"])
@@ -98,11 +104,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
                 counts.append(len(x) // 4 + 1)
                 until += counts[-1]
                 if until - before >= SHARD_TOKENS:
-                    yield done()
+                    done()
                     shard, before = shard + 1, until
                     ids, doc_ids, counts = [], [], []
+            if rows:
+                yield batch()
         if counts:
-            yield done()
+            done()
+            yield batch()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(shards, SHARD).write.options(**LAYOUT).parquet(f"{path}/shards")
