@@ -107,6 +107,45 @@ def test_substrings(spark, first, length, gram):
     assert sorted((x.doc_id, x.n_bytes, sum(b - a for a, b in x.removed), len(x.removed), bytes(x.kept)) for x in got) == brute_spans(rows, length, first)
 
 
+@pytest.mark.parametrize(("first", "hot"), [(False, 4096), (True, 4096), (False, 3), (True, 3)])
+def test_substrings_of_full_length(spark, first, hot):
+    """Passages of 300 to 1,500 bytes in many surroundings, at the length that op2_suffix_dedup takes."""
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefghij kl\né") for _ in range(n))
+    passages = [text(n) for n in (300, 396, 400, 404, 470, 900, 1500)]
+    rows = [(i, text(r.randint(0, 500)).join(r.choice(passages)[r.choice([0, 0, 7]) :] for _ in range(r.randint(0, 3)))) for i in range(60)]
+    rows = [(i, text(r.randint(0, 300)) + x + text(r.randint(0, 300))) for i, x in rows] + [(70, "ab" * 500), (71, "ab" * 480 + "c"), (None, passages[5])]
+    if first:
+        rows = rows[:-1]  # brute_spans orders ids that are not null
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = substrings.remove_repeats(df, keep_first=first, hot=hot).collect()
+    key = lambda x: (x[0] is None, x[0] or 0)
+    got = sorted(((x.doc_id, x.n_bytes, sum(b - a for a, b in x.removed), len(x.removed), bytes(x.kept)) for x in got), key=key)
+    want = brute_spans([(i, x) for i, (_, x) in enumerate(rows)], 400, first)
+    assert [x[1:] for x in got] == [x[1:] for x in want]
+    assert sum(x[3] > 0 for x in got) > 20
+
+
+def test_longest_factors():
+    r = random.Random(2)
+    for length in (3, 8, 20, 45):
+        data = np.array([r.choice(b"ab") for _ in range(200)], np.uint8)
+        starts = np.array(sorted(r.sample(range(200 - length + 1), 100)))
+        order, levels = substrings.suffix_order(data, starts, length)
+        raw = data.tobytes()
+        assert order.tolist() == sorted(starts.tolist(), key=lambda i: (raw[i : i + length], i))
+        match = lambda i, j: next((n for n in range(length) if raw[i + n] != raw[j + n]), length)  # noqa: B023, E731
+        for previous in (True, False):
+            got = substrings.longest_factors(data, order, levels, length, previous)
+            assert got.tolist() == [max((match(i, j) for j in order if (j < i if previous else j > i)), default=0) for i in order]
+
+
+def test_substrings_equal_rows_keep_first(spark):
+    rows = [(1, "x" * 10 + "abcdefghij" * 3)] * 2 + [(2, "y" * 10 + "abcdefghij" * 3)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, DOCS), length=30, gram=8).collect()
+    assert sorted((x.doc_id, bytes(x.kept)) for x in got) == [(1, rows[0][1].encode())] * 2 + [(2, b"y" * 10)]
+
+
 def test_substrings_repeated_rows(spark):
     rows = [(1, "x" * 10 + "abcdefghij" * 3)] * 2 + [(None, None)]
     got = substrings.remove_repeats(spark.createDataFrame(rows, DOCS), length=30, gram=8, keep_first=False).collect()
