@@ -10,7 +10,9 @@ and the like of the other. Equal sets are one node; nodes with the same prefix a
 that share a prefix hash and pass the length and positional bounds are expanded to nodes, and these are verified.
 
 Only the components are asked for. So each prefix hash first pairs every group with one leader, the one with the
-fewest hashes of its own; in a second pass all pairs are made, but for nodes that are linked already.
+fewest hashes of its own; in a second pass all pairs are made, but for nodes that are linked already. That join is on
+the hash and a class of sizes: the place of the hash in the larger set bounds the sizes of its partners, so groups that
+share only a template too small to link them don't meet.
 """
 
 from __future__ import annotations
@@ -144,6 +146,25 @@ def enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
     return overlap * (100 + percent) >= percent * (n + m)
 
 
+def group_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """grp_a, grp_b of groups that share a prefix hash and pass the length and positional bounds, but for those that are
+    linked already; entries (key, grp, n, place, low, high). A pair comes once for each such hash.
+
+    Of a pair with n >= m hashes, the larger takes m from n * percent / 100 to what the hashes from the place on allow,
+    and goes to each class of sizes in between (about 3 % apart); the smaller goes to its own class.
+    """
+    level = lambda x: F.floor(F.log(x) / F.log(F.lit(1.03)))
+    left = F.col("n") - F.col("place")
+    most = F.least(F.col("n"), F.floor(left * (100 + percent) / percent) - F.col("n"))
+    least = F.ceil(F.col("n") * percent / 100)
+    larger = entries.where(most >= least).withColumn("class", F.explode(F.sequence(level(least), level(most)))).alias("x")
+    same = entries.where(enough(left, F.col("n"), F.col("n"), percent)).withColumn("class", level(F.col("n"))).alias("y")
+    pairs = larger.join(same, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") == F.col("y.class")))
+    pairs = pairs.where("x.n > y.n or (x.n = y.n and x.grp < y.grp)").where("not (x.low = x.high and y.low = y.high and x.low = y.low)")
+    pairs = pairs.where(enough(F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")), F.col("x.n"), F.col("y.n"), percent))
+    return pairs.select(F.col("x.grp").alias("grp_a"), F.col("y.grp").alias("grp_b"))
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough."""
     sets = nodes.select("node", "n", "keys")
@@ -180,7 +201,8 @@ def similar_documents(docs: DataFrame, column: str = "text", size: int = 5, perc
 
     best = entries.groupBy("key").agg(F.min(F.struct("single", "leader", "n", "place")).alias("x"), F.count("*").alias("m")).where("m > 1")
     by_key = entries.alias("y").join(best.select("key", "x"), "key").where("x.leader <> leader").where(bounds("x", "y")).select(F.col("x.leader").alias("a"), F.col("leader").alias("b"))
-    in_group = nodes.select("grp", F.col("node").alias("b")).join(groups.select("grp", F.col("leader").alias("a")), "grp").where("a <> b").select("a", "b")
+    linkable = enough(F.col("n") - F.col("single"), F.col("n"), F.col("n"), percent)  # of members of one group
+    in_group = nodes.where(linkable).select("grp", F.col("node").alias("b")).join(groups.select("grp", F.col("leader").alias("a")), "grp").where("a <> b").select("a", "b")
     links = written(verified(written(by_key.union(in_group).distinct(), "pairs"), nodes, percent), "links")
 
     known = components(links)
@@ -189,11 +211,10 @@ def similar_documents(docs: DataFrame, column: str = "text", size: int = 5, perc
     entries = entries.join(spread, "grp")
     mixed = entries.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key")
     left = written(entries.join(mixed, "key", "left_semi"), "mixed")
-    apart = F.expr("not (x.low = x.high and y.low = y.high and x.low = y.low)")
-    pairs = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.grp") < F.col("y.grp")) & bounds("x", "y") & apart)
-    pairs = pairs.select(F.col("x.grp").alias("grp_a"), F.col("y.grp").alias("grp_b")).distinct()
+    pairs = group_pairs(left, percent).distinct()
     pairs = pairs.join(member.toDF("grp_a", "a", "c_a"), "grp_a").join(member.toDF("grp_b", "b", "c_b"), "grp_b").where("c_a <> c_b")
-    uneven = member.join(spread.where("low <> high").select("grp"), "grp", "left_semi")
+    uneven = spread.where("low <> high").join(groups.where(linkable).select("grp"), "grp").select("grp")
+    uneven = member.join(uneven, "grp", "left_semi")
     inner = uneven.toDF("grp", "a", "c_a").join(uneven.toDF("grp", "b", "c_b"), "grp").where("a < b and c_a <> c_b")
     more = verified(written(pairs.select("a", "b").union(inner.select("a", "b")), "pairs"), nodes, percent)
 

@@ -77,6 +77,40 @@ def test_jaccard(spark, seed):
     assert len(links) > 20
 
 
+def test_jaccard_templates(spark):
+    """Documents that share a long template but aren't similar: no pair of groups is made; similar ones among them link."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    template = [word() for _ in range(170)]
+    rows = []
+    for i in range(300):
+        own = [word() for _ in range(30)]
+        rows += [(4 * i, " ".join(template + own)), (4 * i + 1, " ".join(template + own + [word()]))] if i % 3 == 0 else [(4 * i, " ".join(template + own))]
+    made = []
+    pairs = jaccard.group_pairs
+
+    def counted(entries, percent):
+        made.append((entries.count(), pairs(entries, percent).count()))
+        return pairs(entries, percent)
+
+    jaccard.group_pairs = counted
+    try:
+        got = {x.doc_id: x.component_id for x in jaccard.similar_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    finally:
+        jaccard.group_pairs = pairs
+    assert got == {i: i - i % 4 for i, _ in rows}
+    assert made[0][1] <= made[0][0]
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_group_pairs(spark, percent):
+    r = random.Random(percent)
+    rows = [(r.randrange(6), g, n, r.randrange(n), r.randrange(3), 2) for g, n in ((g, r.randint(1, 60)) for g in range(200))]
+    got = jaccard.group_pairs(spark.createDataFrame(rows, "key long, grp long, n long, place long, low long, high long"), percent).collect()
+    ok = lambda a, b: a[0] == b[0] and min(a[2] - a[3], b[2] - b[3]) * (100 + percent) >= percent * (a[2] + b[2]) and not a[4] == b[4] == 2
+    assert sorted(tuple(sorted(x)) for x in got) == sorted((a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and ok(a, b))
+
+
 def test_jaccard_no_rows_and_null_ids(spark):
     assert jaccard.similar_documents(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (None, "x y"), (None, "x y")]
