@@ -34,8 +34,10 @@ PACKED = "part int, block long, header boolean, doc_ids array<bigint>, a binary,
 PACKED_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("header", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 SETS = "doc_id long, n long, d1 long, d2 long, single long, prefix array<bigint>, keys binary"
 SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("single", pa.int64()), ("prefix", pa.list_(pa.int64())), ("keys", pa.binary())])
-#: Bytes of text whose hashes one part of the hash space gets, about.
-PART_BYTES = 8 << 20
+#: Bytes of text whose hashes one part of the hash space gets, and whose parts one task takes in turn, about.
+PART_BYTES, TASK_BYTES = 16 << 20, 256 << 20
+#: Hashes and documents that are dealt to the parts at once.
+DEALT = 1 << 20
 
 
 def packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -67,6 +69,21 @@ def document_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], d[new]
 
 
+def dealt_sets(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """doc_ids, hashes and the document of each hash, sorted by document, for about DEALT of them at once."""
+    ids, some, weight = [], [], 0
+    for block in T.blocks(batches, column):
+        h, d = document_sets(block[column], size)
+        some.append((h, d + len(ids)))
+        ids += block["doc_id"].to_pylist()
+        weight += len(h) + block.num_rows
+        if weight >= DEALT:
+            yield ids, *(np.concatenate(x) for x in zip(*some, strict=True))
+            ids, some, weight = [], [], 0
+    if some:
+        yield ids, *(np.concatenate(x) for x in zip(*some, strict=True))
+
+
 def gaps(x: np.ndarray) -> bytes:
     """Rising numbers as differences, which compress well."""
     return np.diff(x, prepend=0).astype("<u4").tobytes()
@@ -87,15 +104,15 @@ def shared_sets(docs: DataFrame, column: str = "text", size: int = 5, percent: i
     where the row could be linked, the prefix (without single hashes) and all keys other than of single hashes, sorted."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts, n_tasks = max(at_least, -(-total // PART_BYTES)), max(at_least, -(-total // TASK_BYTES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block_id = TaskContext.get().partitionId() << 32
-        for block in T.blocks(batches, column):
-            h, d = document_sets(block[column], size)
-            ends = np.searchsorted(d, np.arange(block.num_rows + 1))
+        for ids, h, d in dealt_sets(batches, column, size):
+            ends = np.searchsorted(d, np.arange(len(ids) + 1))
             digests = [np.diff(np.concatenate([[np.uint64(0)], np.cumsum(T.mix(h ^ c), dtype=np.uint64)])[ends]) for c in T.PLACES[:2]]
-            rows = [(block_id % n_parts, block_id, True, block["doc_id"].to_pylist(), np.diff(ends).astype("<u4").tobytes(), digests[0].tobytes(), digests[1].tobytes())]
+            rows = [(block_id % n_parts, block_id, True, ids, np.diff(ends).astype("<u4").tobytes(), digests[0].tobytes(), digests[1].tobytes())]
             part = ((h >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.uint16 if n_parts < 1 << 16 else np.uint32)
             by = np.argsort(part, kind="stable")
             h, d, part = h[by], d[by], part[by].astype(np.int64)
@@ -138,7 +155,8 @@ def shared_sets(docs: DataFrame, column: str = "text", size: int = 5, percent: i
         return pa.table([pa.array(head["doc_ids"], pa.int64()), pa.array(n), pa.array(np.frombuffer(head["b"], "<i8")), pa.array(np.frombuffer(head["c"], "<i8")), pa.array(single), pa.array(prefix, pa.list_(pa.int64())), pa.array(whole, pa.binary())], schema=SETS_ARROW)
 
     dealt = docs.select(F.col("doc_id").cast("long"), column).mapInArrow(deal, PACKED)
-    return written(dealt.groupBy("part").applyInArrow(count, PACKED).groupBy("block").applyInArrow(gather, SETS), "sets")
+    counted = dealt.repartition(n_tasks, "part").groupBy("part").applyInArrow(count, PACKED)
+    return written(counted.repartition(n_tasks, "block").groupBy("block").applyInArrow(gather, SETS), "sets")
 
 
 def enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
