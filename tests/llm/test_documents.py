@@ -111,6 +111,21 @@ def test_group_pairs(spark, percent):
     assert sorted(tuple(sorted(x)) for x in got) == sorted((a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and ok(a, b))
 
 
+def test_sets_are_dealt_whole(monkeypatch):
+    """Whatever is dealt at once, each row has the same hashes, at its own place."""
+    rows = corpus(3, n=200)
+    table = pa.table({"doc_id": [i for i, _ in rows], "text": pa.array([x for _, x in rows], pa.string())})
+    found = {}
+    for dealt in (1, 2000, 1 << 20):
+        monkeypatch.setattr(jaccard, "DEALT", dealt)
+        groups = list(jaccard.dealt_sets(table.to_batches(max_chunksize=7), "text", 5))
+        found[dealt] = [(ids[k], h[d == k].tolist()) for ids, h, d in groups for k in range(len(ids))]
+        assert (len(groups) > 1) == (dealt < 1 << 20)
+        assert all((np.diff(d) >= 0).all() for _, _, d in groups)
+    assert [i for i, _ in found[1]] == [i for i, _ in rows]
+    assert found[1] == found[2000] == found[1 << 20]
+
+
 def test_jaccard_no_rows_and_null_ids(spark):
     assert jaccard.similar_documents(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (None, "x y"), (None, "x y")]
