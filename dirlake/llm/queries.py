@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op3_chat_format
+from .codebooks import op13_vector_codes
 from .decontamination import op5_decontamination
 from .embeddings import op4_embedding_dedup
 from .jaccard import op1_ngram_jaccard
@@ -13,6 +14,7 @@ from .packing import op9_packing
 from .sql import ORACLE_SQL
 from .substrings import op2_suffix_dedup
 from .token_files import op6_token_files
+from .topk import op12_exact_topk
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -27,4 +29,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_lm_score": op10_lm_score,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_vector_codes": op13_vector_codes,
 }

@@ -34,4 +34,25 @@ h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS item FROM m WHERE item_id IS NOT NULL) GROUP BY 1)
 SELECT doc_id, cast(len(ws) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-ORACLE_SQL = {"op1_ngram_jaccard": OP1, "op3_chat_format": OP3, "op4_embedding_dedup": OP4, "op5_decontamination": OP5}
+USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+WHOLE = f"SELECT vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS bigint)) AS e FROM embeddings WHERE {USABLE}"
+OP12 = f"""WITH v AS ({WHOLE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, cast(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2])), 0) AS bigint) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS integer) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5"""
+
+
+def op13() -> str:
+    """Assignments and means of two rounds, written out."""
+    steps = [f"v AS ({WHOLE})", "p AS (SELECT vec_id, label, k, list_slice(e, k * (len(e) // 16) + 1, (k + 1) * (len(e) // 16)) AS x FROM v, range(16) t(k))", "b0 AS (SELECT k, i, x AS c FROM (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS i FROM p) WHERE i < 64)"]
+    for n in range(3):
+        steps.append(f"d{n} AS (SELECT vec_id, label, p.k, i, x, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN b{n} b ON p.k = b.k)")
+        steps.append(f"a{n} AS (SELECT vec_id, any_value(label) AS label, k, min_by(i, (d, i)) AS i, any_value(x) AS x, min(d) AS d FROM d{n} GROUP BY vec_id, k)")
+        steps.append(f"m{n} AS (SELECT k, i, list(m ORDER BY j) AS c FROM (SELECT k, i, j, cast(floor(sum(y) / count(*)) AS bigint) AS m FROM (SELECT k, i, unnest(x) AS y, unnest(range(len(x))) AS j FROM a{n}) GROUP BY ALL) GROUP BY k, i)")
+        steps.append(f"b{n + 1} AS (SELECT k, i, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN m{n} m USING (k, i))")
+    steps.append("r AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', cast(i AS integer)), '' ORDER BY k) AS code, cast(sum(d) AS bigint) AS error FROM a2 GROUP BY vec_id)")
+    steps.append("h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY k, i)) AS codebooks_sha256 FROM b2)")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS bigint) AS label_error, codebooks_sha256 FROM r, h"
+
+
+ORACLE_SQL = {"op1_ngram_jaccard": OP1, "op3_chat_format": OP3, "op4_embedding_dedup": OP4, "op5_decontamination": OP5, "op12_exact_topk": OP12, "op13_vector_codes": op13()}
