@@ -15,6 +15,7 @@ from .sql import ORACLE_SQL
 from .substrings import op2_suffix_dedup
 from .token_files import op6_token_files
 from .topk import op12_exact_topk
+from .trie import op11_prefix_trie
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_lm_score": op10_lm_score,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_exact_topk": op12_exact_topk,
     "op13_vector_codes": op13_vector_codes,
 }

@@ -34,6 +34,21 @@ h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS item FROM m WHERE item_id IS NOT NULL) GROUP BY 1)
 SELECT doc_id, cast(len(ws) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
+CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(cast(conv_id AS varchar), ''), lambda c: ord(c)::BIGINT)),
+lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT)"""
+OP11 = f"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS origin, {CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+u AS (SELECT c.conv_id, place, role, text, 0 AS own FROM c JOIN t ON t.conv_id = c.origin WHERE place <= h UNION ALL SELECT conv_id, place, role, text, 1 FROM c JOIN t USING (conv_id) WHERE place > h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, place) AS depth, role, text FROM u),
+k AS (SELECT conv_id, 0::BIGINT AS depth, sha256('') AS id, NULL::VARCHAR AS up, 0::BIGINT AS bytes FROM c
+UNION ALL SELECT k.conv_id, r.depth, sha256(k.id || length(r.role) || ':' || r.role || r.text), k.id, octet_length(encode(r.text)) FROM k JOIN r ON r.conv_id = k.conv_id AND r.depth = k.depth + 1),
+e AS (SELECT conv_id, max(depth) AS total FROM k GROUP BY 1),
+n AS (SELECT id, any_value(up) AS up, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved, max(total) = any_value(depth) AS leaf, string_agg(cast(conv_id AS varchar), ',' ORDER BY conv_id) FILTER (WHERE depth = total) AS ends FROM k JOIN e USING (conv_id) GROUP BY id),
+s AS (SELECT a.id, sum(saved) AS saved, sum(leaf::INT) AS leaves FROM n d JOIN k a ON a.conv_id = d.conv_id AND a.depth <= d.depth GROUP BY a.id),
+h AS (SELECT up AS id, count(*) AS n FROM n WHERE up IS NOT NULL GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(h.n, 0) AS n_children, cast(leaves AS bigint) AS n_leaves, cast(s.saved AS bigint) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN s USING (id) LEFT JOIN h USING (id) LEFT JOIN n p ON p.id = n.up"""
+
 USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 WHOLE = f"SELECT vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS bigint)) AS e FROM embeddings WHERE {USABLE}"
 OP12 = f"""WITH v AS ({WHOLE}),
@@ -55,4 +70,4 @@ def op13() -> str:
     return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS bigint) AS label_error, codebooks_sha256 FROM r, h"
 
 
-ORACLE_SQL = {"op1_ngram_jaccard": OP1, "op3_chat_format": OP3, "op4_embedding_dedup": OP4, "op5_decontamination": OP5, "op12_exact_topk": OP12, "op13_vector_codes": op13()}
+ORACLE_SQL = {"op1_ngram_jaccard": OP1, "op3_chat_format": OP3, "op4_embedding_dedup": OP4, "op5_decontamination": OP5, "op11_prefix_trie": OP11, "op12_exact_topk": OP12, "op13_vector_codes": op13()}
