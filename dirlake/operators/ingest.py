@@ -6,7 +6,7 @@ told by their normalised names below their parent, so an import repeated, or spl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from dirlake.functions.scalar import decimal_point, form_trim, is_empty, is_numeric, slug, text_field
@@ -53,8 +53,32 @@ def import_report(rows: DataFrame, domestic: tuple[str, ...] = DOMESTIC) -> Data
     return rows.join(taken, "line_no", "left").agg(F.count("*").alias("submitted"), F.count("ok").alias("accepted"))
 
 
+def row_error() -> Column:
+    """Why a row makes no location: 'country' if it has none, 'header' if it repeats the header; null if it makes one."""
+    country = F.lower(form_trim(F.col("country")))
+    return F.when(is_empty(F.col("country")) | (country == ""), "country").when(country.isin(*HEADERS), "header")
+
+
 def rejected_rows(rows: DataFrame) -> DataFrame:
     """line_no and error of the rows (line_no, country, ...) that make no location: without a country, or a repeated header."""
-    country = F.lower(form_trim(F.col("country")))
-    error = F.when(is_empty(F.col("country")) | (country == ""), "country").when(country.isin(*HEADERS), "header")
-    return rows.select("line_no", error.alias("error")).where("error is not null")
+    return rows.select("line_no", row_error().alias("error")).where("error is not null")
+
+
+def judged(checked: DataFrame, strict: bool = False) -> DataFrame:
+    """Rows of checked_lines with error: why a row is set aside, and accepted: whether it makes a location.
+
+    A malformed line makes what its fields say, and is reported; strict keeps it out.
+    """
+    error = F.coalesce(row_error(), F.col("malformed"))
+    return checked.withColumn("error", error).withColumn("accepted", (row_error().isNull() & (F.col("malformed").isNull() | F.lit(not strict))))
+
+
+def quarantine(rows: DataFrame) -> DataFrame:
+    """line_no, line, error, accepted of the judged rows that have an error."""
+    return rows.where("error is not null").select("line_no", "line", "error", "accepted")
+
+
+def counted(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """Judged rows, and what the pass that writes them counts: submitted, accepted, and rejected ones. No scan of their own."""
+    counts = Observation()
+    return rows.observe(counts, F.count("*").alias("submitted"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"), F.count("malformed").alias("malformed")), counts

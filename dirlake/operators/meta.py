@@ -7,14 +7,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import with_keys
+
 
 def pivot(meta: DataFrame, keys: list[str], owner: str = "entity_id") -> DataFrame:
-    """One row for each owner with a column for each key: the value with the smallest meta_id, or null."""
+    """One row for each owner with a column for each key: the value with the smallest meta_id, or null.
+
+    A row without meta_id counts where there is none with one; of several such rows the least value does.
+    """
     wanted = meta.where(F.col("key").isin(keys))
-    return wanted.groupBy(owner).agg(*[F.min_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("meta_id"))).alias(k) for k in keys])
+    place = F.struct(F.col("meta_id").isNull(), "meta_id", "value")
+    return wanted.groupBy(owner).agg(*[F.min_by("value", F.when(F.col("key") == k, place)).alias(k) for k in keys])
 
 
 def unpivot(wide: DataFrame, owner: str, keys: list[str]) -> DataFrame:
@@ -49,11 +55,26 @@ def upsert(base: DataFrame, patch: DataFrame, key: str, sparse: list[str] = (),
     return base.join(patched, key, "full").select(*[F.col(c) if c == key else value(c).alias(c) for c in base.columns])
 
 
-def upsert_rows(meta: DataFrame, patch: DataFrame, owner: str = "entity_id") -> DataFrame:
-    """Attribute rows after writing patch (owner, key, value): a new value takes the old row's place."""
-    new = patch.where("value is not null").select(owner, "key", F.col("value").alias("_value"))
-    out = meta.join(new, [owner, "key"], "full")
-    return out.select("meta_id", owner, "key", F.coalesce("_value", "value").alias("value"))
+def merge_rows(meta: DataFrame, patch: DataFrame, owner: str = "entity_id", lists: tuple[str, ...] = ()) -> DataFrame:
+    """Attribute rows after writing patch (owner, key, value), new ones without a meta_id.
+
+    A new value takes the place of the old row with the smallest meta_id; a null value leaves it, or for the keys in lists deletes all
+    rows of the key.
+    """
+    new = patch.select(owner, "key", F.col("value").alias("_value"), F.lit(True).alias("_in_patch")).where(F.col("_value").isNotNull() | F.col("key").isin(*lists))
+    first = F.row_number().over(Window.partitionBy(owner, "key").orderBy(F.col("meta_id").asc_nulls_last(), "value")) == 1
+    out = meta.withColumn("_first", first).join(new, [owner, "key"], "full")
+    out = out.where(F.col("_in_patch").isNull() | F.col("_value").isNotNull())
+    value = F.when(F.coalesce("_first", F.lit(True)), F.coalesce("_value", "value")).otherwise(F.col("value"))
+    return out.select("meta_id", owner, "key", value.alias("value"))
+
+
+def upsert_rows(meta: DataFrame, patch: DataFrame, owner: str = "entity_id", lists: tuple[str, ...] = ()) -> DataFrame:
+    """merge_rows, in which rows without a meta_id get the next ones above the largest, in the order of owner and key."""
+    merged = merge_rows(meta, patch, owner, lists)
+    last = meta.agg(F.max("meta_id")).first()[0] or 0
+    added = with_keys(merged.where("meta_id is null").drop("meta_id"), [owner, "key"], "meta_id", last)
+    return merged.where("meta_id is not null").unionByName(added)
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
