@@ -109,8 +109,13 @@ def joined(*columns: Column) -> Column:
 
 
 def token(*columns: Column) -> Column:
-    """Base64 of the fields, joined by colons."""
-    return F.base64(F.concat_ws(":", *columns).cast("binary"))
+    """Base64 of the fields, joined by bars."""
+    return F.base64(F.concat_ws("|", *columns).cast("binary"))
+
+
+def login_token(user_id: Column, email: Column, seconds: Column | None = None) -> Column:
+    """The token of a login: id, e-mail and time in seconds, by default when the query began."""
+    return token(user_id.cast("string"), email, (F.unix_timestamp() if seconds is None else seconds).cast("string"))
 
 
 def titled(items: Column, field: str) -> Column:

@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 from dirlake.functions.scalar import is_empty, slug
 from dirlake.sources.shared import cut
 
+#: How names are compared: neither case nor accents count.
+NAMES = "UNICODE_CI_AI"
 
-def by_slug_or_name(rows: DataFrame, wanted: str, terms: DataFrame, taxonomy: str, found: str) -> DataFrame:
+
+def name_key(c: Column, collation: str | None = NAMES) -> Column:
+    """A name as a key of joins and groups; with a collation the dotless i counts as an i, too."""
+    return c if collation is None else F.collate(F.translate(c, "ı", "i"), collation)
+
+
+def by_slug_or_name(rows: DataFrame, wanted: str, terms: DataFrame, taxonomy: str, found: str, collation: str | None = NAMES) -> DataFrame:
     """rows with the term_id, as column found, whose slug is in column wanted, or else whose name is; null if none.
 
-    Of several such terms the smallest term_id counts. Empty values find nothing.
+    Names are equal by a collation, or byte by byte without one. Of several such terms the smallest term_id counts. Empty
+    values find nothing.
     """
     own = terms.where(F.col("taxonomy") == taxonomy)
     slugs = own.where("slug is not null").groupBy(F.col("slug").alias("_slug")).agg(F.min("term_id").alias("_by_slug"))
-    names = own.where("name is not null").groupBy(F.col("name").alias("_name")).agg(F.min("term_id").alias("_by_name"))
-    out = rows.join(slugs, F.col(wanted) == F.col("_slug"), "left").join(names, F.col(wanted) == F.col("_name"), "left")
+    names = own.where("name is not null").groupBy(name_key(F.col("name"), collation).alias("_name")).agg(F.min("term_id").alias("_by_name"))
+    out = rows.join(slugs, F.col(wanted) == F.col("_slug"), "left").join(names, name_key(F.col(wanted), collation) == F.col("_name"), "left")
     hit = F.when(~is_empty(F.col(wanted)), F.coalesce("_by_slug", "_by_name"))
     return out.withColumn(found, hit).drop("_slug", "_name", "_by_slug", "_by_name")
 

@@ -224,7 +224,7 @@ def clean_email(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", S.email(F.concat(F.lit(" "), "c_name", F.lit("@example.com "))).alias("email"), S.email(F.col("c_name")).alias("bad"))
 
 
-@query("SELECT s_suppkey, to_base64(encode(s_suppkey || ':' || s_name)) AS token FROM supplier")
+@query("SELECT s_suppkey, to_base64(encode(s_suppkey || '|' || s_name)) AS token FROM supplier")
 def token_b64(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", S.token(F.col("s_suppkey").cast("string"), F.col("s_name")).alias("token"))
 

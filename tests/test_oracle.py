@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from dirlake.plans import catalog
+from dirlake.plans import catalog, stored  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
