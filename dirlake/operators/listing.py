@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keys import with_keys
+
 
 def recent(entities: DataFrame, date: str, key: str, limit: int = 50) -> DataFrame:
     """The newest entities, ties by the larger key."""
@@ -35,22 +37,9 @@ def node(entities: DataFrame, key: str, value: Column) -> DataFrame:
     return entities.where(F.col(key) == value).orderBy("id").limit(1)
 
 
-def numbered(rows: DataFrame, key: str, pieces: int | None = None) -> DataFrame:
-    """rows with n: their number from 0 in the order of a numeric key without ties.
-
-    Rows are cut by quantiles of the key into as many pieces as a shuffle has partitions, numbered within a piece, and
-    moved by the pieces' counts, so no task gets all.
-    """
-    pieces = pieces or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(rows.approxQuantile(key, [i / pieces for i in range(1, pieces)], 0.2 / pieces)))
-    piece = F.lit(0)
-    for c in cuts:
-        piece = piece + (F.col(key) > c).cast("int")
-    own = rows.withColumn("_piece", piece)
-    counts = own.groupBy("_piece").agg(F.count("*").alias("_m"))
-    before = counts.select("_piece", (F.sum("_m").over(Window.orderBy("_piece")) - F.col("_m")).alias("_before"))  # a row for each piece
-    n = F.row_number().over(Window.partitionBy("_piece").orderBy(key)) - 1
-    return own.withColumn("_n", n).join(before, "_piece").withColumn("n", F.col("_before") + F.col("_n")).drop("_piece", "_n", "_before")
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with n: their number from 0 in the order of a key without ties; no task gets all rows."""
+    return with_keys(rows, [key], "n", -1)
 
 
 def batches(rows: DataFrame, key: str, size: int = 50) -> DataFrame:
