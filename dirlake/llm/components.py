@@ -21,15 +21,16 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.select("a", "b").union(edges.select("b", "a"))
         hook = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("root")), "hooks")
         above = hook.select(F.col("id").alias("root"), F.col("root").alias("top"))
-        hook = written(hook.join(above, "root").select("id", F.col("top").alias("root")), "roots")
+        hook = written(hook.join(above, "root").select("id", F.col("top").alias("root")), "roots", (hook,))
         if found is None:
             found = hook
         else:
             up = hook.select(F.col("id").alias("root"), F.col("root").alias("top"))
-            found = written(found.join(up, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "found")
+            found = written(found.join(up, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "found", (found,))
+        merged = edges
         for side in "ab":
-            edges = edges.join(hook.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side)
-        edges = edges.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).where("a <> b").distinct()
-        edges = written(edges, "edges")
+            merged = merged.join(hook.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side)
+        merged = merged.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).where("a <> b").distinct()
+        edges = written(merged, "edges", (edges,) if hook is found else (edges, hook))
         if edges.isEmpty():
             return found.select("id", F.col("root").alias("component"))

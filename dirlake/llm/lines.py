@@ -3,7 +3,7 @@
 Signature. Every place of a distinct line gives a shingle of `chars` characters. One pass over their hashes keeps, for
 each of 2 * BANDS prefixes, the hash nearest to it by exclusive or: the least one with that prefix, if there is any. Two
 of these minima are a band. At a Jaccard similarity of 0.8 of five-character shingles, lines with single letters changed
-all over have one of 0.58 for 12 characters, so a band agrees with 0.58^2 and one of 12 with 0.99. Lines with few
+all over have one of 0.58 for 12 characters, so a band agrees with 0.58^2 and one of 12 with 0.99. Lines with few different
 five-character shingles have bands of these as well, of three minima each: 1 - (1 - 0.8^3)^8 = 0.997.
 
 Verification. A band first pairs its lines with the one of most copies. The five-character shingles of pairs are compared
@@ -19,8 +19,13 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import bucketed, written
 
-#: Bands of long shingles. Lines of fewer characters than FEW, or made of repetitions, have bands of five-character shingles too.
-BANDS, FEW = 12, 64
+#: Bands of long shingles.
+BANDS = 12
+#: Lines of fewer characters than FEW have bands of five-character shingles too; so do those made of repetitions, those of no more
+#: than four different characters in one of the stretches looked at, and those of LONG characters with no more than LETTERS.
+FEW, LONG, LETTERS = 64, 4096, 12
+STRETCHES = r"(?s)(.{20}).{0,80}"
+FOUR_LETTERS = r"(?s)^(.)\1*+(?:(.)(?:\1|\2)*+(?:(.)(?:\1|\2|\3)*+(?:(.)(?:\1|\2|\3|\4)*+)?+)?+)?+$"
 
 
 def plain(line: Column) -> Column:
@@ -28,6 +33,11 @@ def plain(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\r")))
 
 
+def line_id(line: Column) -> Column:
+    """The number that groups equal lines."""
+    return F.xxhash64(line)
+
+
 def shingles(line: Column, size: int) -> Column:
     """Hashes of the shingles of a line that has size characters or more, at every place; four bytes are one character."""
     at = lambda u: F.sequence(F.lit(1), F.octet_length(u) - (4 * size - 1), F.lit(4))
@@ -36,9 +46,11 @@ def shingles(line: Column, size: int) -> Column:
 
 
 def has_few(line: Column) -> Column:
-    """Whether a line is short, or little is left without the string that it begins with."""
+    """Whether a line is short, or little is left without the string that it begins with, or it is of few letters somewhere."""
     rest = [F.char_length(F.replace(line, F.substring(line, 1, n), F.lit(""))) < FEW for n in (5, 12)]
-    return (F.char_length(line) < FEW) | rest[0] | rest[1]
+    stretch = F.exists(F.regexp_extract_all(line, F.lit(STRETCHES), F.lit(1)), lambda x: x.rlike(FOUR_LETTERS))
+    plain = F.when(F.char_length(line) >= LONG, F.size(F.array_distinct(F.split(line, ""))) <= LETTERS).otherwise(F.lit(False))
+    return (F.char_length(line) < FEW) | rest[0] | rest[1] | stretch | plain
 
 
 def signatures(distinct: DataFrame, size: int, chars: int) -> DataFrame:
@@ -61,14 +73,15 @@ def led(entries: DataFrame, order: Column) -> DataFrame:
     return entries.drop("leader", "m").join(best.where("m > 1"), "band")
 
 
-def duplicate_lines(docs: DataFrame, min_chars: int = 20, size: int = 5, percent: int = 80, chars: int = 12) -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_chars: int = 1, size: int = 5, percent: int = 80, chars: int = 12) -> DataFrame:
     """key and removed (array of line numbers from 0) of each row of docs (key, doc_id, text) that loses lines.
 
     Lines of fewer than min_chars characters are never compared; 1 lets in all but blank ones. Of equal lines and of linked ones the first stays, by
-    doc_id (null first), key and place. Lines of fewer than size characters have no shingle and match equal ones only.
+    doc_id (null first), key and place. Lines of fewer than size characters have no shingle and match equal ones only. Lines are told
+    by 64 bits; one whose other 64 bits aren't those of the line that stands for its group stays in any case.
     """
     lines = docs.select("key", "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("key", "doc_id", "place", plain(F.col("line")).alias("line"))
-    lines = lines.where(F.char_length("line") >= min_chars).select("key", "doc_id", "place", "line", F.xxhash64("line").alias("id"))
+    lines = lines.where(F.char_length("line") >= min_chars).select("key", "doc_id", "place", "line", line_id(F.col("line")).alias("id"), F.xxhash64(F.lit(1), "line").alias("check"))
     distinct = lines.groupBy("id").agg(F.min(F.struct("doc_id", "key", "place", "line")).alias("first"), F.count("*").alias("copies"))
     distinct = bucketed(distinct.select("id", "copies", F.struct("first.doc_id", "first.key", "first.place").alias("first"), "first.line"), "lines", "id")
     texts = distinct.select("id", "line")
@@ -78,7 +91,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 20, size: int = 5, percent
         both = pairs.join(texts.toDF("b", "line_b"), "b").join(texts.toDF("a", "line_a"), "a")
         both = both.select("a", "b", shingles(F.col("line_a"), size).alias("x"), shingles(F.col("line_b"), size).alias("y"))
         both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), F.size(F.array_union("x", "y")).alias("all"))
-        return written(both.where(f"shared * 100 >= all * {percent}").select("a", "b"), "line-links")
+        return written(both.where(f"shared * 100 >= all * {percent}").select("a", "b"), "line-links", (pairs,))
 
     def mixed(entries: DataFrame, links: DataFrame) -> DataFrame:
         """Entries of the bands whose lines aren't all in one component, with it (c)."""
@@ -90,8 +103,8 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 20, size: int = 5, percent
     entries = signed.select("id", "copies", F.explode("bands").alias("band"))
     met = entries.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
     rank = F.shiftleft(F.least("copies", F.lit((1 << 20) - 1)), 40).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 40) - 1)))  # more copies first
-    entries = written(entries.join(met, "band").select("id", "band", rank.alias("rank")), "bands")
-    entries = written(led(entries, F.col("rank")), "led")
+    entries = written(entries.join(met, "band").select("id", "band", rank.alias("rank")), "bands", (signed,))
+    entries = written(led(entries, F.col("rank")), "led", (entries,))
     links = verified(entries.where("id <> leader").select("leader", "id"))
     left = mixed(entries.where("m > 2"), links)
     both = left.groupBy("id", "c").agg(F.sort_array(F.collect_list("band")).alias("bands"))  # at most a line's bands
@@ -99,13 +112,20 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 20, size: int = 5, percent
     more = led(both, F.xxhash64("id", "band")).where("c <> leader_c").select("leader", "id")
     joined = components(links.union(verified(more)))
 
-    of = distinct.select("id", "first").join(joined, "id")
-    of = of.select("id", "component").join(of.groupBy("component").agg(F.min("first").alias("kept")), "component").select("id", "kept")
-    kept = distinct.where("copies > 1").select("id", "first").join(of, "id", "full").select("id", F.coalesce("kept", "first").alias("kept"))
-    gone = lines.select("id", "key", "doc_id", "place").join(kept, "id").where(~F.struct("doc_id", "key", "place").eqNullSafe(F.col("kept")))
+    own = distinct.select("id", "copies", "first", F.xxhash64(F.lit(1), "line").alias("of"))
+    of = own.join(joined, "id")
+    of = of.select("id", "of", "component").join(of.groupBy("component").agg(F.min("first").alias("kept")), "component").select("id", F.col("of").alias("of_linked"), "kept")
+    kept = own.where("copies > 1").select("id", "of", "first").join(of, "id", "full").select("id", F.coalesce("of", "of_linked").alias("of"), F.coalesce("kept", "first").alias("kept"))
+    gone = lines.select("id", "check", "key", "doc_id", "place").join(kept, "id").where((F.col("check") == F.col("of")) & ~F.struct("doc_id", "key", "place").eqNullSafe(F.col("kept")))
     return gone.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("removed"))  # at most a document's lines
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that tell a document by its doc_id and text; nulls count as values of their own."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.when(text.isNull(), ".").otherwise(":"), F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(whole))
+
+
 def dedup_lines(docs: DataFrame, **settings: int) -> tuple[DataFrame, str]:
     """docs without the duplicate lines of column text, and one more column, whose name is returned: the removed line numbers.
 
@@ -117,7 +137,7 @@ def dedup_lines(docs: DataFrame, **settings: int) -> tuple[DataFrame, str]:
         while names[n] in docs.columns:
             names[n] += "_"
     key, removed = names["key"], names["removed"]
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
     gone = duplicate_lines(keyed.select(F.col(key).alias("key"), "doc_id", "text"), **settings)
     out = keyed.join(gone.toDF(key, removed), key, "left")
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(removed), i)), "\n")
@@ -128,5 +148,5 @@ def dedup_lines(docs: DataFrame, **settings: int) -> tuple[DataFrame, str]:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_removed, removed line numbers and remaining text of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out, removed = dedup_lines(docs, min_chars=1)
+    out, removed = dedup_lines(docs)
     return out.select("doc_id", F.size(removed).cast("long").alias("n_removed"), F.col(removed).alias("removed"), "text")

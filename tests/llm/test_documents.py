@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from dirlake.llm import decontamination, jaccard, langid, lines, lm, packing, substrings, token_files, tokens
 from dirlake.llm.components import components
@@ -313,7 +314,7 @@ def brute_lines(rows):
     places = collections.defaultdict(list)
     for i, x in rows:
         for at, line in enumerate((x or "").split("\n")):
-            if len(line := line.strip(" \t\r").lower()) >= 20:
+            if line := line.strip(" \t\r").lower():
                 places[line].append((i, at))
     ids = list(places)
     sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in ids]
@@ -454,6 +455,37 @@ def test_lines_of_families(spark):
     assert not gone - want and len(gone) >= 0.98 * len(want) and len(want) > 300
 
 
+@pytest.mark.parametrize("letters", ["01", "acgt", "0123456789"])
+def test_lines_of_few_letters(spark, letters):
+    """Recall where few shingles of five characters are there: pairs at 0.8 or more, against all pairs."""
+    r = random.Random(len(letters))
+    rows, n = [], 0
+    for length in (100, 200, 300, 1200) if letters != "01" else (40, 48):
+        for k in range(30):
+            head = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(12)) if k % 2 else ""
+            x = [r.choice(letters) for _ in range(length)]
+            y = list(x)
+            for _ in range(max(1, length // 60)):
+                y[r.randrange(length)] = r.choice(letters)
+            rows += [(n, head + "".join(x)), (n + 1, head + "".join(y))]
+            n += 2
+    if letters == "01":
+        for length in (200, 300):  # as lines of two letters have all shingles, each group is one component
+            rows += [(n + k, f"{chr(97 + k % 26) * 3}{'xyz'[k % 3]}" * 8 + "".join(r.choice(letters) for _ in range(length))) for k in range(60)]
+            n += 60
+    gone, want = gone_lines(spark, rows), brute_all_lines(rows)
+    assert not gone - want and len(gone) >= 0.9 * len(want) and len(want) >= 50
+
+
+def test_lines_that_collide(spark, monkeypatch):
+    """Different lines of one number: none goes for another's sake."""
+    monkeypatch.setattr(lines, "line_id", lambda line: F.pmod(F.xxhash64(line), F.lit(16)))
+    r = random.Random(21)
+    rows = [(i, "\n".join("".join(r.choice("abcdefgh ") for _ in range(30)) for _ in range(4))) for i in range(60)] + [(99, "one line"), (100, "one line")]
+    gone, want = gone_lines(spark, rows), brute_all_lines(rows)
+    assert gone <= want
+
+
 def brute_phrases(sample, text):
     """Greedy longest matches within lanes of symbols."""
     n = 0
