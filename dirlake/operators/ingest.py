@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from dirlake.functions.scalar import decimal_point, form_trim, is_empty, is_numeric, slug, text_field
+from dirlake.sources.shared import cut
+
+from .meta import unpivot, upsert_rows
+from .terms import at_paths, create_terms
 
 #: Countries whose third column is a district, and header names, in lower case.
 DOMESTIC, HEADERS = ("türkiye", "turkey"), ("ülke", "ulke", "country")
@@ -39,6 +43,18 @@ def location_terms(rows: DataFrame, domestic: tuple[str, ...] = DOMESTIC) -> Dat
     return found.select("path", "level", "name", "parent_path", "at.lat", "at.lng")
 
 
+def import_terms(rows: DataFrame, terms: DataFrame, meta: DataFrame, domestic: tuple[str, ...] = DOMESTIC) -> tuple[DataFrame, DataFrame]:
+    """Terms and attribute rows (meta_id, term_id, key, value) after importing rows: level and coordinates are attributes.
+
+    Terms that are there get the level that the rows name; coordinates that the rows don't give stay. New terms and new
+    attribute rows get the next numbers of theirs.
+    """
+    found = cut(location_terms(rows, domestic), "locations")
+    terms = cut(create_terms(terms, found), "terms")
+    wide = at_paths(terms, found).select("term_id", F.col("level").alias("location_type"), F.col("lat").alias("map_lat"), F.col("lng").alias("map_lng"))
+    return terms, upsert_rows(meta, unpivot(wide, "term_id", ["location_type", "map_lat", "map_lng"]), "term_id")
+
+
 def merge_locations(existing: DataFrame, new: DataFrame) -> DataFrame:
     """existing locations after importing new ones: known names stay, new coordinates replace old ones."""
     added = new.select("path", *[F.col(c).alias(f"_{c}") for c in ("level", "name", "parent_path", "lat", "lng")])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from dirlake.functions.scalar import email, first_word, is_empty, last_word, strip_tags, text, text_area, text_field, url
 
-from .meta import unpivot
+from .keys import with_keys
+from .meta import unpivot, upsert_rows
 from .terms import by_slug_or_name, city_and_district
 
 #: The title of a company without one, and the replies to submissions and registrations.
@@ -61,6 +62,19 @@ def registration_replies(registrations: DataFrame, accounts: DataFrame) -> DataF
     return own.select("id", done.alias("success"), message.alias("message"), F.when(done, F.col("id")).alias("userId"))
 
 
+def create_accounts(registrations: DataFrame, accounts: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """accounts (id, login, e-mail, names) and attribute rows (meta_id, user_id, key, value) with those of new registrations.
+
+    New accounts get the next ids in the order of the registrations' own. A registration that comes again is refused for its
+    e-mail, so its account keeps its id.
+    """
+    users, fields, _ = register_users(registrations, accounts)
+    last = accounts.agg(F.max("id")).first()[0] or 0
+    users = with_keys(users.withColumnRenamed("id", "of"), ["of"], "id", last)
+    fields = fields.join(users.select(F.col("of").alias("user_id"), F.col("id").alias("account")), "user_id").select(F.col("account").alias("user_id"), "key", "value")
+    return accounts.unionByName(users.select(*accounts.columns)), upsert_rows(meta, fields, "user_id")
+
+
 def open_fields(rows: DataFrame, owner: str, payload: str, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
     """Attribute rows (owner, key, value) of JSON objects in a column, and what is rejected (owner, key, value, error).
 

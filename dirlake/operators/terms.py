@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from dirlake.functions.scalar import is_empty, slug
 from dirlake.sources.shared import cut
 
+from .keys import with_keys
+
 #: How names are compared: neither case nor accents count.
 NAMES = "UNICODE_CI_AI"
 
@@ -83,3 +85,27 @@ def get_or_create(existing: DataFrame, wanted: DataFrame) -> DataFrame:
     """existing terms and those of wanted that aren't there yet (same columns; term_id tells)."""
     new = wanted.dropDuplicates(["term_id"]).join(existing.select("term_id"), "term_id", "left_anti")
     return existing.unionByName(new.select(*existing.columns))
+
+
+def create_terms(existing: DataFrame, found: DataFrame, taxonomy: str = "location") -> DataFrame:
+    """existing terms (term_id, taxonomy, name, slug, parent) and one for each path of found (path, name, parent_path) that isn't there yet.
+
+    A term's path is made of the slugs of its names from the root down; of several terms with one path the smallest term_id stands
+    for it. New terms get the next term_ids, those nearer to the root first, then by path, so a parent has a smaller one. What is
+    there already is reused with its spelling, so an import that comes again adds nothing.
+    """
+    own = existing.where(F.col("taxonomy") == taxonomy)
+    known = paths(own.withColumn("name", slug(F.col("name"))), "/").where("path is not null").groupBy("path").agg(F.min("term_id").alias("term_id"))
+    fresh = found.select("path", "name", "parent_path").dropDuplicates(["path"]).join(known.select("path"), "path", "left_anti")
+    last = existing.agg(F.max("term_id")).first()[0] or 0
+    fresh = with_keys(fresh.withColumn("depth", F.size(F.split("path", "/"))), ["depth", "path"], "term_id", last)
+    above = known.unionByName(fresh.select("path", "term_id")).select(F.col("path").alias("parent_path"), F.col("term_id").alias("parent"))
+    fresh = fresh.join(above, "parent_path", "left")
+    return existing.unionByName(fresh.select("term_id", F.lit(taxonomy).alias("taxonomy"), "name", slug(F.col("name")).alias("slug"), "parent"))
+
+
+def at_paths(terms: DataFrame, found: DataFrame, taxonomy: str = "location") -> DataFrame:
+    """found (path, ...) with the term_id that stands for each path."""
+    own = terms.where(F.col("taxonomy") == taxonomy)
+    known = paths(own.withColumn("name", slug(F.col("name"))), "/").where("path is not null")
+    return found.join(known.groupBy("path").agg(F.min("term_id").alias("term_id")), "path")

@@ -291,3 +291,59 @@ def color_cases(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_custkey, to_base64(encode(c_custkey || '|' || c_name || '|' || (1700000000 + c_nationkey))) AS token FROM customer")
 def login_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", S.login_token(F.col("c_custkey"), F.col("c_name"), F.col("c_nationkey") + 1_700_000_000).alias("token"))
+
+
+#: Rows of an import: regions and nations that are there as terms, and new countries, cities and districts.
+PLACES_SQL = f"""WITH RECURSIVE f AS (SELECT s_suppkey AS line_no, CASE WHEN s_suppkey % 3 = 0 THEN 'New ' || r_name ELSE lower(r_name) END AS country, n_name AS city, s_name AS district FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+k AS (SELECT *, {SLUG_SQL.format('country')} AS ck, {SLUG_SQL.format('city')} AS nk, {SLUG_SQL.format('district')} AS dk, lower(country) IN ('asia', 'europe') AS home FROM f),
+e AS (SELECT line_no, 1 AS depth, 'country' AS level, ck AS path, country AS name, '' AS up, NULL AS lat FROM k UNION ALL SELECT line_no, 2, 'city', ck || '/' || nk, city, ck, CASE WHEN NOT home THEN (line_no // 7) || '.' || (line_no % 7) END FROM k UNION ALL SELECT line_no, 3, 'district', ck || '/' || nk || '/' || dk, district, ck || '/' || nk, NULL FROM k WHERE home),
+p AS (SELECT path, any_value(depth) AS depth, any_value(level) AS level, any_value(up) AS up, arg_min(name, line_no) AS name, arg_max(lat, line_no) FILTER (WHERE lat IS NOT NULL) AS lat FROM e GROUP BY path),
+o AS (SELECT cast(r_regionkey + 1000 AS bigint) AS term_id, r_name AS name, NULL::BIGINT AS parent, {SLUG_SQL.format('r_name')} AS path FROM region UNION ALL SELECT cast(n_nationkey AS bigint), n_name, cast(r_regionkey + 1000 AS bigint), {SLUG_SQL.format('r_name')} || '/' || {SLUG_SQL.format('n_name')} FROM nation JOIN region ON n_regionkey = r_regionkey),
+n AS (SELECT (SELECT max(term_id) FROM o) + row_number() OVER (ORDER BY depth, path) AS term_id, name, up, path FROM p ANTI JOIN o USING (path)),
+a AS (SELECT term_id, path FROM o UNION ALL SELECT term_id, path FROM n), t AS (SELECT term_id, name, parent FROM o UNION ALL SELECT n.term_id, name, a.term_id FROM n LEFT JOIN a ON a.path = n.up)"""
+
+
+def imported(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    own = table(spark, d, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey")
+    at = F.concat(F.floor(k / 7).cast("string"), F.lit(","), (k % 7).cast("string"))
+    rows = own.select(k.alias("line_no"), F.when(k % 3 == 0, F.concat(F.lit("New "), "r_name")).otherwise(F.lower("r_name")).alias("country"), F.col("n_name").alias("city"), F.col("s_name").alias("district"), at.alias("lat"), at.alias("lng"))
+    known = nation_terms(spark, d)
+    levels = known.where("parent is null").select("term_id", F.lit("region").alias("location_type"))
+    return ingest.import_terms(rows, known, numbered_meta(levels, "term_id", ["location_type"]).withColumn("meta_id", F.col("term_id")).select("meta_id", "term_id", "key", "value"), HOME)
+
+
+@query(PLACES_SQL + f" SELECT term_id, 'location' AS taxonomy, name, {SLUG_SQL.format('name')} AS slug, parent FROM t")
+def imported_terms(spark: SparkSession, d: str) -> DataFrame:
+    return imported(spark, d)[0]
+
+
+@query(PLACES_SQL + """, w AS (SELECT term_id, 'location_type' AS key, level AS value FROM p JOIN a USING (path) UNION ALL SELECT term_id, x, lat FROM p JOIN a USING (path), (SELECT unnest(['map_lat', 'map_lng']) AS x) WHERE lat IS NOT NULL),
+m AS (SELECT term_id AS meta_id, term_id, 'location_type' AS key, 'region' AS value FROM o WHERE parent IS NULL)
+SELECT meta_id, term_id, key, coalesce(w.value, m.value) AS value FROM m LEFT JOIN w USING (term_id, key) UNION ALL SELECT (SELECT max(meta_id) FROM m) + row_number() OVER (ORDER BY term_id, key), term_id, key, value FROM w ANTI JOIN m USING (term_id, key)""")
+def imported_term_meta(spark: SparkSession, d: str) -> DataFrame:
+    return imported(spark, d)[1]
+
+
+ACCOUNTS_SQL = """WITH r AS (SELECT *, c_nationkey || '.' || (c_custkey % 1000) || '@example.com' AS email FROM customer), k AS (SELECT s_suppkey AS id, s_nationkey || '.' || (s_suppkey % 1000) || '@example.com' AS email, s_name FROM supplier),
+u AS (SELECT r.*, (SELECT max(id) FROM k) + row_number() OVER (ORDER BY r.c_custkey) AS id FROM r JOIN (SELECT email, min(c_custkey) AS c_custkey FROM r GROUP BY 1) f ON r.email = f.email AND r.c_custkey = f.c_custkey WHERE r.email NOT IN (SELECT email FROM k))"""
+
+
+def created_accounts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    own, _ = registrations(spark, d)
+    email = F.concat("s_nationkey", F.lit("."), (F.col("s_suppkey") % 1000).cast("string"), F.lit("@example.com"))
+    accounts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), email.alias("login"), email.alias("email"), F.col("s_name").alias("first_name"), F.lit("").alias("last_name"), F.col("s_name").alias("display_name"))
+    known = table(spark, d, "supplier").select(F.col("s_suppkey").alias("meta_id"), F.col("s_suppkey").alias("user_id"), F.lit("phone").alias("key"), F.col("s_name").alias("value"))
+    return submit.create_accounts(own, accounts, known)
+
+
+@query(ACCOUNTS_SQL + " SELECT id, email AS login, email, s_name AS first_name, '' AS last_name, s_name AS display_name FROM k UNION ALL SELECT id, email, email, 'Ada', string_split('Ada ' || c_mktsegment, ' ')[-1], 'Ada ' || c_mktsegment FROM u")
+def new_accounts(spark: SparkSession, d: str) -> DataFrame:
+    return created_accounts(spark, d)[0]
+
+
+@query(ACCOUNTS_SQL + """, m AS (SELECT id AS user_id, 'account_type' AS key, CASE WHEN c_acctbal > 0 THEN 'kurumsal' ELSE 'bireysel' END AS value FROM u UNION ALL SELECT id, 'company_name', c_name FROM u WHERE c_acctbal > 0)
+SELECT id AS meta_id, id AS user_id, 'phone' AS key, s_name AS value FROM k UNION ALL SELECT (SELECT max(id) FROM k) + row_number() OVER (ORDER BY user_id, key), user_id, key, value FROM m""")
+def new_account_meta(spark: SparkSession, d: str) -> DataFrame:
+    return created_accounts(spark, d)[1]

@@ -163,3 +163,44 @@ def test_intervals(spark, seed):
     assert {x.term_id: (x.n_terms, x.n_links) for x in subtree_counts(labels, df).collect()} == {t: (len(inside(t)) - 1, sum(i in inside(t) for _, i in links)) for t in low}
     assert sorted(x.entity_id for x in entities_below(labels, df, 3).collect()) == sorted({e for e, i in links if i in inside(3)})
     assert intervals(spark.createDataFrame([], TERM)).count() == 0
+
+
+def test_import_into_terms(spark):
+    """Terms and attributes of an import; the same import again adds nothing, whatever it is cut into."""
+    from dirlake.operators import details, ingest
+    from dirlake.sources.csv import parse_lines
+
+    lines = ["Türkiye,İzmir,Konak", "turkey,Ankara,Çankaya", "Türkiye,izmir,Bornova", 'Fransa,Paris,x,"48,8","2,3"', "Fransa,PARIS,,49,3", "Fransa,Lyon", "Yeni,İzmir,,1,2"]
+    rows = parse_lines(spark.createDataFrame(list(enumerate(lines)), "line_no long, line string"))
+    old = spark.createDataFrame([(7, "location", "Fransa", "fransa", None), (9, "sector", "Paris", "paris", None), (8, "location", "Paris!", "p", 7)], TERM)
+    meta_schema = "meta_id bigint, term_id bigint, key string, value string"
+    known = spark.createDataFrame([(4, 8, "map_lat", "1"), (5, 8, "color", "red")], meta_schema)
+    terms, attributes = ingest.import_terms(rows, old, known)
+    got = {r.term_id: (r.name, r.parent) for r in terms.collect()}
+    assert {i: got[i] for i in (7, 8, 9)} == {7: ("Fransa", None), 8: ("Paris!", 7), 9: ("Paris", None)}
+    new = {i: x for i, x in got.items() if i > 9}
+    assert sorted(new) == list(range(10, 10 + len(new))) and all(p is None or p < i for i, (_, p) in got.items())
+    named = {n: i for i, (n, _) in new.items()}
+    assert set(named) >= {"Türkiye", "turkey", "Konak", "Bornova", "Çankaya", "Lyon", "Yeni"} and len(new) == 10
+    assert got[named["Bornova"]][1] == got[named["Konak"]][1] and got[got[named["Konak"]][1]] == ("İzmir", named["Türkiye"])
+    read = {r.term_id: (r.type, r.lat, r.lng) for r in details.location_details(terms, attributes).collect()}
+    assert read[8] == ("city", "49", "3") and read[7] == ("country", "", "") and read[named["Konak"]] == ("district", "", "")
+    again, same = ingest.import_terms(rows, spark.createDataFrame(terms.collect(), TERM), spark.createDataFrame(attributes.collect(), meta_schema))
+    assert rows_of(again) == rows_of(terms) and rows_of(same) == rows_of(attributes)
+    assert attributes.where("meta_id = 4").first().value == "49" and attributes.count() == attributes.select("meta_id").distinct().count()
+
+
+def test_accounts_again(spark):
+    from dirlake.operators import submit
+
+    fields = "id long, email string, firstName string, lastName string, phone string, accountType string, companyName string, taxOffice string, taxNumber string, sector string"
+    row = lambda i, e: (i, e, "Ada King", None, "1", None, None, None, None, None)
+    rows = spark.createDataFrame([row(500, "b@x.org"), row(400, "a@x.org"), row(600, "k@x.org"), row(700, "a@x.org")], fields)
+    schema = "id bigint, login string, email string, first_name string, last_name string, display_name string"
+    users = spark.createDataFrame([(3, "k@x.org", "k@x.org", "K", "", "K")], schema)
+    none = spark.createDataFrame([], "meta_id bigint, user_id bigint, key string, value string")
+    accounts, attributes = submit.create_accounts(rows, users, none)
+    assert {(r.id, r.email) for r in accounts.collect()} == {(3, "k@x.org"), (4, "a@x.org"), (5, "b@x.org")}
+    assert rows_of(attributes) == [(1, 4, "phone", "1"), (2, 5, "phone", "1")]
+    again, same = submit.create_accounts(rows, spark.createDataFrame(accounts.collect(), schema), spark.createDataFrame(attributes.collect(), attributes.schema))
+    assert rows_of(again) == rows_of(accounts) and rows_of(same) == rows_of(attributes)
