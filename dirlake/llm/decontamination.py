@@ -5,8 +5,9 @@ contained in a document only if each of its shingles is there, so one shingle is
 all documents. Documents are joined on these shingles; the shingle's place in the window gives where the window would
 lie (it must fit between the document's first and last word), and all words there are compared.
 
-The benchmark is taken in blocks of at most about block_bytes of text. What is broadcast is bounded by that; a larger
-benchmark takes more passes over the documents.
+The benchmark is taken in blocks of at most about block_bytes of text (an item is never cut). What is broadcast is bounded
+by that, at some 15 times the bytes; a larger benchmark takes more passes over the documents, two a block. Windows are made on
+whole blocks by numpy.
 """
 
 from __future__ import annotations
@@ -50,37 +51,72 @@ class Lookup:
 
 @dataclass
 class Windows:
-    """Distinct windows of one length: their words, shingles and items."""
+    """Distinct windows of one length: where they begin in a row of words, their tokens (shingles) and items."""
 
     size: int
-    words: np.ndarray  # windows x size
-    items: list[list[str]]
     shingle: int
+    words: np.ndarray
+    begin: np.ndarray
     tokens: Lookup
-    token_of: np.ndarray  # windows x shingles of a window: number of the token
+    names: list[str]
+    first: np.ndarray  # items of window i: own[first[i] : first[i + 1]], numbers of names
+    own: np.ndarray
+
+    def items(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in windows, and the items of the windows there."""
+        n = self.first[windows + 1] - self.first[windows]
+        at = np.repeat(np.arange(len(windows)), n)
+        return at, self.own[np.repeat(self.first[windows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+def distinct_windows(words: np.ndarray, begin: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of one window of each content, and for each window the number of its content."""
+    keys = T.shingles(words, size)[begin]
+    _, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    if any((words[begin + j] != words[begin[index][inverse] + j]).any() for j in range(size)):  # different windows of one hash
+        rows = np.lib.stride_tricks.sliding_window_view(words, size)[begin]
+        _, index, inverse = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    return index, inverse.ravel()
 
 
 def item_windows(rows: list[Row], window: int, shingle: int) -> list[Windows]:
-    """Windows of the items (item_id, text), by length."""
+    """Windows of the items (item_id, text), by length, on all items at once."""
     data, offsets = T.text_bytes(pa.array([r.text for r in rows], pa.string()))
     hashes, starts, _ = T.words(data, offsets, T.ALNUM)
     first = T.firsts(starts, offsets)
-    found: dict[int, dict[bytes, set[str]]] = {}
-    for i, r in enumerate(rows):
-        own = hashes[first[i] : first[i + 1]]
-        size = min(window, len(own))
-        for at in range(len(own) - size + 1 if size else 0):
-            found.setdefault(size, {}).setdefault(own[at : at + size].tobytes(), set()).update([] if r.item_id is None else [str(r.item_id)])
+    length = np.diff(first)
+    names = sorted({str(r.item_id) for r in rows if r.item_id is not None})
+    number = {x: i for i, x in enumerate(names)}
+    name = np.array([-1 if r.item_id is None else number[str(r.item_id)] for r in rows], np.int64)
     out = []
-    for size, windows in sorted(found.items()):
-        words = np.frombuffer(b"".join(windows), np.uint64).reshape(-1, size)
-        s = min(shingle, size)
-        own = np.stack([T.shingles(w, s) for w in words])
-        tokens = Lookup.of(own.ravel())
-        out.append(Windows(size, words, [sorted(x) for x in windows.values()], s, tokens, np.searchsorted(tokens.keys, own)))
+    for size in np.unique(np.minimum(length, window)[length > 0]).tolist():
+        item = np.nonzero(length >= window if size == window else length == size)[0]
+        n = length[item] - size + 1
+        of = np.repeat(item, n)
+        begin = np.repeat(first[item] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        index, inverse = distinct_windows(hashes, begin, size)
+        pairs = np.unique(np.stack([inverse, name[of]], axis=1), axis=0)
+        pairs = pairs[pairs[:, 1] >= 0]
+        s, begin = min(shingle, size), begin[index]
+        places = np.unique(begin[:, None] + np.arange(size - s + 1))
+        tokens = Lookup.of(T.shingles(hashes, s)[places])
+        out.append(Windows(size, s, hashes, begin, tokens, names, np.searchsorted(pairs[:, 0], np.arange(len(begin) + 1)), pairs[:, 1].astype(np.int32)))
     return out
 
 
+def rarest(w: Windows, counts: np.ndarray, at_once: int = 1 << 16) -> tuple[Lookup, np.ndarray, np.ndarray]:
+    """For a lookup of the windows' rarest tokens: where each one's windows begin, and the windows with the token's place in them."""
+    shingles = T.shingles(w.words, w.shingle)
+    token, place = np.empty(len(w.begin), np.int64), np.empty(len(w.begin), np.int64)
+    for at in range(0, len(w.begin), at_once):
+        own = np.searchsorted(w.tokens.keys, shingles[w.begin[at : at + at_once, None] + np.arange(w.size - w.shingle + 1)])
+        least = np.argmin(counts[own], axis=1)
+        token[at : at + at_once], place[at : at + at_once] = own[np.arange(len(own)), least], least
+    by = np.argsort(token, kind="stable")
+    used, begin = np.unique(token[by], return_index=True)
+    return Lookup.of(w.tokens.keys[used]), np.append(begin, len(by)), np.stack([by, place[by]], axis=1).astype(np.int32)
+
+
 def token_counts(docs: DataFrame, column: str, sets: list[Windows]) -> list[np.ndarray]:
     """How often each token occurs in all documents."""
     shared = docs.sparkSession.sparkContext.broadcast([(w.shingle, w.tokens) for w in sets])
@@ -114,11 +150,11 @@ def _scan(w: Windows, anchors: tuple[Lookup, np.ndarray, np.ndarray], hashes: np
     doc, start, window = doc[fits], start[fits], window[fits]
     same = np.ones(len(start), bool)
     for j in range(w.size):
-        same[same] = hashes[start[same] + j] == w.words[window[same], j]
+        same[same] = hashes[start[same] + j] == w.words[w.begin[window[same]] + j]
     return doc[same], start[same], window[same]
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, column: str = "text", window: int = 10, shingle: int = 3, block_bytes: int = 8 << 20) -> tuple[DataFrame, str]:
+def find_passages(docs: DataFrame, benchmark: DataFrame, column: str = "text", window: int = 10, shingle: int = 3, block_bytes: int = 16 << 20) -> tuple[DataFrame, str]:
     """docs with one more column, whose name is returned: struct(n_words, spans, items).
 
     spans lists the first words and ends of the maximal runs of hit words, items the ids (as strings, sorted, each
@@ -137,13 +173,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, column: str = "text", w
     for b in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()  # about block_bytes of text
         sets = item_windows(rows, window, shingle)
-        tables = []
-        for w, counts in zip(sets, token_counts(docs, column, sets), strict=True):
-            rarest = np.argmin(counts[w.token_of], axis=1)
-            token = w.token_of[np.arange(len(rarest)), rarest]
-            by = np.argsort(token, kind="stable")
-            own, begin = np.unique(token[by], return_index=True)
-            tables.append((w, (Lookup.of(w.tokens.keys[own]), np.append(begin, len(by)), np.stack([by, rarest[by]], axis=1))))
+        tables = [(w, rarest(w, counts)) for w, counts in zip(sets, token_counts(docs, column, sets), strict=True)]
+        for w in sets:
+            w.tokens = None  # tasks look for the rarest only
         shared = docs.sparkSession.sparkContext.broadcast(tables)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -157,8 +189,12 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, column: str = "text", w
                     doc, start, own = _scan(w, anchors, hashes, first)
                     np.add.at(change, start, 1)
                     np.add.at(change, start + w.size, -1)
-                    for d, k in np.unique(np.stack([doc, own], axis=1), axis=0):
-                        items.setdefault(int(d), set()).update(w.items[k])
+                    for d in np.unique(doc).tolist():
+                        items.setdefault(d, set())
+                    met = np.unique(np.stack([doc, own], axis=1), axis=0)
+                    at, item = w.items(met[:, 1])
+                    for d, k in np.unique(np.stack([met[at, 0], item], axis=1), axis=0).tolist():
+                        items[d].add(w.names[k])
                 hit = np.cumsum(change)[:-1] > 0
                 rows = []
                 before = block[name]

@@ -230,6 +230,31 @@ def test_decontamination(spark, block_bytes):
     assert sorted(got) == sorted(want)
 
 
+def test_windows_that_collide(monkeypatch):
+    """Windows of one hash are told by their words; those of equal words are one."""
+    r = np.random.default_rng(1)
+    words_of = r.integers(0, 3, 300).astype(np.uint64)
+    begin = np.arange(0, 290)
+    want = collections.defaultdict(list)
+    for i in begin.tolist():
+        want[words_of[i : i + 5].tobytes()].append(i)
+    for shingles in (decontamination.T.shingles, lambda hashes, size: np.zeros(len(hashes) - size + 1, np.uint64)):
+        monkeypatch.setattr(decontamination.T, "shingles", shingles)
+        index, inverse = decontamination.distinct_windows(words_of, begin, 5)
+        assert len(index) == len(want) and all(len(set(inverse[x].tolist())) == 1 for x in want.values())
+
+
+def test_repeated_items(spark):
+    """A passage of very many items, and items that are copies."""
+    text = " ".join(f"w{i}" for i in range(14))
+    items = [(i, text) for i in range(300)] + [(300 + i, f"own{i} " + text) for i in range(40)] + [(7, text), (None, text)]
+    docs = [(1, "x " + text + " y"), (2, " ".join(text.split()[:9])), (3, "own3 " + text)]
+    out, name = decontamination.find_passages(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: r[name] for r in out.collect()}
+    assert got[1].spans == [1, 15] and got[2].spans == [] and got[3].spans == [0, 15]
+    assert got[1]["items"] == sorted(str(i) for i in range(340)) == got[3]["items"]
+
+
 def test_decontamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     out, name = decontamination.find_passages(spark.createDataFrame([(1, "a")], DOCS), none)
