@@ -90,7 +90,8 @@ def hex_color(c: Column) -> Column:
 
 def slug(c: Column) -> Column:
     """Lower case, ASCII for Turkish and circumflex letters, other characters as single hyphens."""
-    return F.btrim(F.regexp_replace(F.translate(F.lower(c), *FOLDED), "[^a-z0-9]+", "-"), F.lit("-"))
+    low = F.lower(F.translate(c, "İ", "I"))  # in lower case it would be an i and a dot
+    return F.btrim(F.regexp_replace(F.translate(low, *FOLDED), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def first_word(c: Column) -> Column:

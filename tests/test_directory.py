@@ -40,6 +40,7 @@ def one(spark, f, *values):
         (S.hex_color, "#AbC", "#AbC"),
         (S.hex_color, "#abcd", None),
         (S.slug, "Çağrı Şişli!", "cagri-sisli"),
+        (S.slug, "İZMİR", "izmir"),
         (S.email, " a b@x.org", "ab@x.org"),
         (S.email, "a@b", ""),
         (S.url, "javascript:alert(1)", ""),
