@@ -95,21 +95,23 @@ def item_windows(rows: list[Row], window: int, shingle: int) -> list[Windows]:
         of = np.repeat(item, n)
         begin = np.repeat(first[item] - np.cumsum(n) + n, n) + np.arange(n.sum())
         index, inverse = distinct_windows(hashes, begin, size)
-        pairs = np.unique(np.stack([inverse, name[of]], axis=1), axis=0)
-        pairs = pairs[pairs[:, 1] >= 0]
+        window_of, own = np.divmod(np.unique(inverse * (len(names) + 1) + name[of] + 1), len(names) + 1)
+        window_of, own = window_of[own > 0], own[own > 0] - 1
         s, begin = min(shingle, size), begin[index]
-        places = np.unique(begin[:, None] + np.arange(size - s + 1))
-        tokens = Lookup.of(T.shingles(hashes, s)[places])
-        out.append(Windows(size, s, hashes, begin, tokens, names, np.searchsorted(pairs[:, 0], np.arange(len(begin) + 1)), pairs[:, 1].astype(np.int32)))
+        inside = np.zeros(len(hashes) - s + 1, bool)
+        for j in range(size - s + 1):
+            inside[begin + j] = True
+        tokens = Lookup.of(T.shingles(hashes, s)[inside])
+        out.append(Windows(size, s, hashes, begin, tokens, names, np.searchsorted(window_of, np.arange(len(begin) + 1)), own.astype(np.int32)))
     return out
 
 
 def rarest(w: Windows, counts: np.ndarray, at_once: int = 1 << 16) -> tuple[Lookup, np.ndarray, np.ndarray]:
     """For a lookup of the windows' rarest tokens: where each one's windows begin, and the windows with the token's place in them."""
-    shingles = T.shingles(w.words, w.shingle)
+    number = np.searchsorted(w.tokens.keys, T.shingles(w.words, w.shingle))  # of no meaning between windows
     token, place = np.empty(len(w.begin), np.int64), np.empty(len(w.begin), np.int64)
     for at in range(0, len(w.begin), at_once):
-        own = np.searchsorted(w.tokens.keys, shingles[w.begin[at : at + at_once, None] + np.arange(w.size - w.shingle + 1)])
+        own = number[w.begin[at : at + at_once, None] + np.arange(w.size - w.shingle + 1)]
         least = np.argmin(counts[own], axis=1)
         token[at : at + at_once], place[at : at + at_once] = own[np.arange(len(own)), least], least
     by = np.argsort(token, kind="stable")
