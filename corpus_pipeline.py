@@ -38,7 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier, or much alike, in the corpus; one that loses all its text goes."""
-    out, removed = dedup_lines(docs, min_chars=1)
+    out, removed = dedup_lines(docs)
     out = out.where((F.size(removed) == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size(removed) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -47,14 +47,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked at any remove, the one with the smallest doc_id (null last). Equal rows (same doc_id and text) are one."""
-    key = "key"
+    key, check = "key", "check"
     while key in docs.columns:
         key += "_"
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    while check in docs.columns:
+        check += "_"
+    keyed = docs.withColumns({key: F.xxhash64("doc_id", "text"), check: F.xxhash64(F.lit(1), "doc_id", "text")})
     found = similar_documents(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id").distinct()
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("of"))
-    first = keyed.select(key, "doc_id").distinct().join(found, key).groupBy("component_id").agg(F.min(rank).alias("first"))
-    return columns(keyed.join(first.select(F.col("first.of").alias(key)), key, "left_semi").dropDuplicates([key]), docs)
+    first = keyed.select(key, check, "doc_id").distinct().join(found, key).groupBy("component_id").agg(F.min(rank).alias("first"))
+    return columns(keyed.join(first.select(F.col("first.of").alias(key)), key, "left_semi").dropDuplicates([key, check]), docs)  # different rows of one key all stay
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
