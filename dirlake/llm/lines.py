@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import bucketed, written
 
-#: Bands of long shingles.
-BANDS = 12
+#: Bands of long shingles, and places whose hashes are compared before they meet the minima of their line.
+BANDS, AT_ONCE = 12, 8
 #: Lines of fewer characters than FEW have bands of five-character shingles too; so do those made of repetitions, those of no more
 #: than four different characters in one of the stretches looked at, and those of LONG characters with no more than LETTERS.
 FEW, LONG, LETTERS = 64, 4096, 12
@@ -57,10 +57,13 @@ def signatures(distinct: DataFrame, size: int, chars: int) -> DataFrame:
     """id, copies and bands of each distinct line (id, copies, line)."""
     sizes = F.array(F.when(F.char_length("line") >= chars, chars), F.when(has_few(F.col("line")), size))
     own = distinct.where(F.char_length("line") >= size).select("id", "copies", F.encode("line", "UTF-32").alias("u"), F.explode(F.array_compact(sizes)).alias("size"))
-    each = own.select("id", "copies", "size", "u", F.explode(F.sequence(F.lit(1), F.octet_length("u") - 4 * F.col("size") + 1, F.lit(4))).alias("at"))
-    each = each.select("id", "copies", "size", F.xxhash64(F.substring("u", F.col("at"), 4 * F.col("size"))).alias("h"))
+    last = F.octet_length("u") - 4 * F.col("size") + 1
+    each = own.select("id", "copies", "size", "u", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(4 * AT_ONCE))).alias("at"))
+    places = [F.least(F.col("at") + 4 * i, "last") for i in range(AT_ONCE)]
+    each = each.select("id", "copies", "size", *[F.xxhash64(F.substring("u", p, 4 * F.col("size"))).alias(f"x{i}") for i, p in enumerate(places)])
     prefixes = [((k * 23 + 5) % 64 << 58) - (1 << 63) for k in range(2 * BANDS)]  # the sign bit makes the order that of unsigned numbers
-    least = each.groupBy("id", "copies", "size").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"h{k}") for k, p in enumerate(prefixes)])
+    nearest = [F.least(*[F.col(f"x{i}").bitwiseXOR(F.lit(p)) for i in range(AT_ONCE)]) for p in prefixes]
+    least = each.groupBy("id", "copies", "size").agg(*[F.min(x).alias(f"h{k}") for k, x in enumerate(nearest)])
     pairs = F.array(*[F.xxhash64(F.lit(b), f"h{2 * b}", f"h{2 * b + 1}") for b in range(BANDS)])
     triples = F.array(*[F.xxhash64(F.lit(-1 - b), f"h{b}", f"h{b + 8}", f"h{b + 16}") for b in range(8)])
     return least.select("id", "copies", F.when(F.col("size") == chars, pairs).otherwise(triples).alias("bands"))
