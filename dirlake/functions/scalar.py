@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,12 @@ FORM_SPACE = " \t\n\r\0\x0b"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters that slugs write in ASCII.
 FOLDED = ("çğıöşüâîû", "cgiosuaiu")
+#: Tags that a post may have, attributes of any of them, and of some.
+POST_TAGS = ["a", "abbr", "b", "blockquote", "br", "cite", "code", "del", "div", "em", "figure", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "i", "img", "ins", "li", "ol", "p", "pre", "q", "s", "small", "span", "strong", "sub", "sup", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "u", "ul"]
+ANY_ATTRIBUTES, OWN_ATTRIBUTES = ["class", "id", "lang", "title"], {"a": ["href", "rel", "target"], "img": ["src", "alt", "width", "height"], "td": ["colspan", "rowspan"], "th": ["colspan", "rowspan"]}
+#: Texts, tags and stray signs of HTML; attributes in double quotes; URLs of a scheme that is let through, or of none.
+TOKEN, ATTRIBUTE = "</?[A-Za-z!?][^<>]*>|[^<]+|<", '[ \\t\\r\\n]([a-z]+="[^"<>]*")'
+SAFE_URL = '^[a-z]+="((https?|ftp|mailto):|[^:&"/?#]*["/?#])'
 NUMBER = "^[ \\t\\n\\r]*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?[ \\t\\n\\r]*$"
 
 
@@ -60,6 +68,25 @@ def strip_tags(c: Column, instead: str = "") -> Column:
     return F.regexp_replace(c, "<[^>]*>", instead)
 
 
+def post_html(c: Column) -> Column:
+    """HTML made anew from allowed parts: tags of POST_TAGS with their attributes in double quotes, and text.
+
+    Other tags and comments go, what stands between them stays; so do other attributes, and URLs of other schemes or with a
+    character reference where a scheme could be. A sign that begins no tag is escaped.
+    """
+
+    def kept(x: Column) -> Column:
+        name = F.lower(F.regexp_extract(x, "^</?([A-Za-z][A-Za-z0-9]*)[^A-Za-z0-9]", 1))
+        key = lambda a: F.substring_index(a, "=", 1)
+        own = lambda a: reduce(Column.__or__, [(name == tag) & key(a).isin(some) for tag, some in OWN_ATTRIBUTES.items()])
+        safe = lambda a: ~key(a).isin("href", "src") | F.lower(a).rlike(SAFE_URL)
+        attributes = F.filter(F.regexp_extract_all(x, F.lit(ATTRIBUTE), F.lit(1)), lambda a: (key(a).isin(ANY_ATTRIBUTES) | own(a)) & safe(a))
+        tag = F.concat(F.lit("<"), name, F.array_join(F.transform(attributes, lambda a: F.concat(F.lit(" "), a)), ""), F.when(x.endswith("/>"), " /").otherwise(""), F.lit(">"))
+        return F.when(x == "<", "&lt;").when(~x.startswith("<"), x).when(~name.isin(POST_TAGS), "").when(x.startswith("</"), F.concat(F.lit("</"), name, F.lit(">"))).otherwise(tag)
+
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), kept), "")
+
+
 def text_field(c: Column) -> Column:
     """One line of plain text: no tags, blanks collapsed, trimmed."""
     return F.btrim(F.regexp_replace(strip_tags(c), "[\\r\\n\\t ]+", " "))

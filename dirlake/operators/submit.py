@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dirlake.functions.scalar import email, first_word, is_empty, last_word, strip_tags, text, text_area, text_field, url
+from dirlake.functions.scalar import email, first_word, is_empty, last_word, post_html, text, text_area, text_field, url
 
 from .keys import with_keys
 from .meta import unpivot, upsert_rows
@@ -20,7 +20,7 @@ REGISTERED, KNOWN_EMAIL, NO_LOGIN = "Kayıt başarılı! Giriş yapabilirsiniz."
 def judged(submissions: DataFrame) -> DataFrame:
     """submissions with the cleaned title and content of each, and error: why it can't become an entity, else null."""
     title = F.coalesce(text_field(F.col("title")), F.lit(UNNAMED))
-    content = text(strip_tags(F.col("description")))
+    content = text(post_html(F.col("description")))
     return submissions.withColumns({"_title": title, "_content": content, "error": F.when((title == "") & (content == ""), NOTHING_GIVEN)})
 
 

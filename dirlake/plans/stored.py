@@ -248,7 +248,7 @@ def submit_failed(spark: SparkSession, d: str) -> DataFrame:
     return submit.failed(mixed_submissions(spark, d))
 
 
-@query("SELECT c_custkey AS id, 'company' AS post_type, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN c_name ELSE '(İsimsiz Firma)' END AS title, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS content, 'pending' AS status FROM customer WHERE c_custkey % 6 <> 3")
+@query("SELECT c_custkey AS id, 'company' AS post_type, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN c_name ELSE '(İsimsiz Firma)' END AS title, CASE WHEN c_custkey % 2 = 0 THEN '<p>' || c_mktsegment || '</p>' ELSE '' END AS content, 'pending' AS status FROM customer WHERE c_custkey % 6 <> 3")
 def submit_content(spark: SparkSession, d: str) -> DataFrame:
     return submit.submit_companies(mixed_submissions(spark, d), nation_terms(spark, d))[0]
 
@@ -347,3 +347,17 @@ def new_accounts(spark: SparkSession, d: str) -> DataFrame:
 SELECT id AS meta_id, id AS user_id, 'phone' AS key, s_name AS value FROM k UNION ALL SELECT (SELECT max(id) FROM k) + row_number() OVER (ORDER BY user_id, key), user_id, key, value FROM m""")
 def new_account_meta(spark: SparkSession, d: str) -> DataFrame:
     return created_accounts(spark, d)[1]
+
+
+TAGS_SQL, ANY_SQL = (", ".join(f"'{x}'" for x in some) for some in (S.POST_TAGS, S.ANY_ATTRIBUTES))
+OWN_SQL = " OR ".join(f"(name = '{tag}' AND string_split(a, '=')[1] IN ({', '.join(repr(x) for x in some)}))" for tag, some in S.OWN_ATTRIBUTES.items())
+
+
+@query(f"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '{S.TOKEN}', 0)) AS x, unnest(range(len(regexp_extract_all(html, '{S.TOKEN}', 0)))) AS n FROM pages),
+u AS (SELECT *, lower(regexp_extract(x, '^</?([A-Za-z][A-Za-z0-9]*)[^A-Za-z0-9]', 1)) AS name FROM t),
+v AS (SELECT page_id, n, CASE WHEN x = '<' THEN '&lt;' WHEN NOT starts_with(x, '<') THEN x WHEN name NOT IN ({TAGS_SQL}) THEN '' WHEN starts_with(x, '</') THEN '</' || name || '>'
+ELSE '<' || name || array_to_string(list_transform(list_filter(regexp_extract_all(x, '{S.ATTRIBUTE}', 1), lambda a: (string_split(a, '=')[1] IN ({ANY_SQL}) OR {OWN_SQL}) AND (string_split(a, '=')[1] NOT IN ('href', 'src') OR regexp_matches(lower(a), '{S.SAFE_URL}'))), lambda a: ' ' || a), '') || CASE WHEN ends_with(x, '/>') THEN ' /' ELSE '' END || '>' END AS y FROM u)
+SELECT page_id, coalesce(string_agg(y, '' ORDER BY n), '') AS html FROM pages LEFT JOIN v USING (page_id) GROUP BY page_id""")
+def allowed_html(spark: SparkSession, d: str) -> DataFrame:
+    """Whole pages with allowed tags and attributes only."""
+    return table(spark, d, "pages").select("page_id", S.post_html(F.col("html")).alias("html"))

@@ -41,6 +41,13 @@ def one(spark, f, *values):
         (S.hex_color, "#abcd", None),
         (S.slug, "Çağrı Şişli!", "cagri-sisli"),
         (S.slug, "İZMİR", "izmir"),
+        (S.post_html, '<P onclick="x">a</P><script>b</script><!-- c -->', "<p>a</p>b"),
+        (S.post_html, '<a href="https://x.org/?a=b" rel="r" style="s">l</a><a href="javascript:x">m</a>', '<a href="https://x.org/?a=b" rel="r">l</a><a>m</a>'),
+        (S.post_html, '<a href="java&#115;cript:x">m</a><a href="/p?q=a:b">n</a><a href="JAVASCRIPT:x">o</a>', '<a>m</a><a href="/p?q=a:b">n</a><a>o</a>'),
+        (S.post_html, '<img src="a.png" alt="t" href="x" onerror=e /><br/>1 < 2 > 0 <', '<img src="a.png" alt="t" /><br />1 &lt; 2 > 0 &lt;'),
+        (S.post_html, "<b<script>x</script>", "&lt;bx"),
+        (S.post_html, "", ""),
+        (S.post_html, None, None),
         (S.email, " a b@x.org", "ab@x.org"),
         (S.email, "a@b", ""),
         (S.url, "javascript:alert(1)", ""),
@@ -131,7 +138,7 @@ def test_submission(spark):
     fields = "id long, title string, officialName string, sector string, companyType string, description string, email string, phone string, website string, city string, district string, postalCode string, address string"
     rows = spark.createDataFrame([(9, None, "Ö", "Gıda", None, "<b>x</b>", "a@b.co", None, None, "izmir", "Konak", None, "a\nb")], fields)
     entity, attributes, links = submit.submit_companies(rows, spark.createDataFrame(TERMS, TERM))
-    assert tuple(entity.first()) == (9, "company", submit.UNNAMED, "x", "pending")
+    assert tuple(entity.first()) == (9, "company", submit.UNNAMED, "<b>x</b>", "pending")
     assert {(r.key, r.value) for r in attributes.collect()} == {("official_name", "Ö"), ("email", "a@b.co"), ("address", "a\nb")}
     assert {(r.taxonomy, r.term_id) for r in links.collect()} == {("sector", 5), ("location", 2), ("location", 3)}
 
