@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import cut, delete, exists
+from .shared import cut, delete, drop, exists
 
 Combine = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -63,6 +63,7 @@ class Buckets:
             for k in touched:
                 if any(f"/bucket={k}/" in f and exists(spark, f) for f in before):  # nothing took their place: no row is left
                     delete(spark, f"{self.path}/bucket={k}")
+        drop(patch)
         return touched
 
     def _write(self, rows: DataFrame) -> None:

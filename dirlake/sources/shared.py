@@ -28,7 +28,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Removes the files of what cut() returned, once nothing reads them any more."""
+    delete(df.sparkSession, df._cut_at)
 
 
 def _path(spark: SparkSession, path: str) -> tuple:

@@ -17,7 +17,7 @@ from dirlake.operators.ingest import counted, judged, location_terms, merge_loca
 from dirlake.sources.buckets import Buckets
 from dirlake.sources.csv import checked_lines
 from dirlake.sources.lines import LocationLines
-from dirlake.sources.shared import cut, exists
+from dirlake.sources.shared import cut, drop, exists
 
 LOCATION = "path string, level string, name string, parent_path string, lat string, lng string"
 LEDGER = "submitted bigint, accepted bigint, rejected bigint, malformed bigint, source string, batch bigint"
@@ -51,6 +51,7 @@ class Import:
         self._publish(spark)
         self._set_aside(quarantine(rows), number)
         self._enter(spark, {} if rows.isEmpty() else counts.get, number)
+        drop(rows)
 
     def _merge_rows(self, rows: DataFrame) -> None:
         new = location_terms(rows)
