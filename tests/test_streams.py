@@ -97,6 +97,10 @@ def test_lost_batch(spark, tmp_path, monkeypatch, step, after):
 
 def test_batch_again(spark, tmp_path):
     """A batch that the ledger has changes nothing, even if later ones have moved its city since."""
+    import glob
+
+    left = lambda: {f for x in ("batch", "patch") for f in glob.glob(f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/{x}-*")}
+    before = left()
     own = Import(spark, "again", "checkpoint", f"file://{tmp_path}/out", buckets=4)
     batch = lambda *x: spark.createDataFrame(list(enumerate(x)), "line_no long, line string")
     own.merge(batch("Fransa,Paris,,1,1"), 0)
@@ -105,6 +109,7 @@ def test_batch_again(spark, tmp_path):
     assert [(r.name, r.lat) for r in spark.table("again").where("level = 'city'").collect()] == [("Paris", "2")]
     own.merge(batch(), 2)
     assert own.ledger(spark).where("batch = 2").first().submitted == 0
+    assert left() == before  # nothing stays behind but the table, its ledger and its rejected lines
     spark.sql("DROP TABLE again")
 
 
