@@ -3,7 +3,7 @@
 A sample of labelled text for each language becomes a suffix automaton, kept as a table of transitions. A text is cut
 greedily into phrases, each the longest match with the language's sample (or one unknown symbol). The number of
 phrases times the binary logarithm of the sample's length, over the text's length, estimates the cross entropy; the
-language with the least wins. Texts are folded to symbols first: letters in lower case, all else as single gaps. The
+language with the least wins. Texts are folded to symbols first: letters in lower case, combining marks, all else as single gaps. The
 parse starts anew after every LANE symbols, so that numpy can follow many lanes at once.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import types as S
 
 from . import text as T
 
-#: Symbols: gap, then each letter of the samples, then any letter never learnt, then the end of a lane.
+#: Symbols: gap, then each letter and mark of the samples, then any mark and any letter never learnt, then the end of a lane.
 LANE = 256
 #: The sample for each language: documents, and characters of each. It bounds the fit; no statistic comes from it.
 SAMPLE_DOCS, SAMPLE_CHARS = 48, 1024
@@ -58,6 +58,7 @@ class Model:
     languages: list[str]
     fold: np.ndarray  # symbol of each code point
     width: int  # number of symbols
+    letters: np.ndarray  # whether each symbol is a letter
     tables: list[Table]
     bits: list[float]
 
@@ -114,21 +115,35 @@ def transitions(symbols: list[int], width: int) -> Table:
     return Table(column, root, None, table)
 
 
-def fold_table(samples: dict[str, str]) -> tuple[np.ndarray, int]:
-    """The symbol of each code point, and the number of symbols."""
-    learnt = Counter(c for x in samples.values() for c in x.lower() if unicodedata.category(c)[0] == "L")
+def kind(c: str) -> str:
+    """L of a letter, M of a mark that combines with letters."""
+    return unicodedata.category(c)[0]
+
+
+def plain(c: str) -> str:
+    """What stands for a letter or mark: the first one of its lower-case compatibility form (i of the dotted capital)."""
+    return next((x for x in unicodedata.normalize("NFKC", c).lower() if kind(x) in "LM"), c)
+
+
+def fold_table(samples: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol of each code point, and whether each symbol is a letter."""
+    seen = Counter(c for x in samples.values() for c in unicodedata.normalize("NFC", x) if kind(c) in "LM")
+    learnt = Counter()
+    for c, n in seen.items():
+        learnt[plain(c)] += n
     known = {c: i + 1 for i, (c, _) in enumerate(learnt.most_common())}
-    width = len(known) + 3
+    letters = np.array([False, *(kind(c) == "L" for c in known), False, True, False])
     fold = np.zeros(0x110000, np.uint32)
     for code in range(0x110000):
         c = chr(code)
-        if unicodedata.category(c)[0] == "L":
-            fold[code] = known.get(c.lower(), width - 2)
-    return fold, width
+        if (k := kind(c)) in "LM":
+            fold[code] = known.get(plain(c), len(known) + 1 + (k == "L"))
+    return fold, letters
 
 
 def folded(fold: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of the texts, one after the other, and how many each text has. Runs of gaps are one gap."""
+    texts = [unicodedata.normalize("NFC", x) for x in texts]
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
     symbols = fold[codes]
     of = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
@@ -139,13 +154,14 @@ def folded(fold: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(samples: dict[str, str]) -> Model:
     """samples: labelled text of each language."""
-    fold, width = fold_table(samples)
+    fold, letters = fold_table(samples)
+    width = len(letters)
     tables, bits = [], []
     for x in samples.values():
         symbols, _ = folded(fold, [x])
         tables.append(transitions(symbols.tolist(), width))
         bits.append(float(np.log2(max(2, len(symbols)))))
-    return Model(list(samples), fold, width, tables, bits)
+    return Model(list(samples), fold, width, letters, tables, bits)
 
 
 def phrases(model: Model, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -202,7 +218,7 @@ def identify(docs: DataFrame, model: Model, column: str = "text") -> tuple[DataF
         model = shared.value
         for block in T.blocks(batches, column):
             symbols, sizes = folded(model.fold, [x or "" for x in block[column].to_pylist()])
-            lettered = np.add.reduceat(np.append(symbols > 0, 0), np.minimum(np.cumsum(sizes) - sizes, len(symbols))) * (sizes > 0) > 0
+            lettered = np.add.reduceat(np.append(model.letters[symbols], False), np.minimum(np.cumsum(sizes) - sizes, len(symbols))) * (sizes > 0) > 0
             rates = phrases(model, symbols, sizes) * np.array(model.bits) / np.maximum(sizes, 1)[:, None] if model.languages else np.zeros((len(sizes), 0))
             rows = []
             for ok, own in zip(lettered, rates, strict=True):
