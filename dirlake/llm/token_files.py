@@ -23,6 +23,8 @@ from . import text as T
 from .storage import shared_dir
 from .tokens import default_path, word_encoder
 
+#: Bytes of text that a range of documents has, about.
+RANGE_BYTES = 64 << 20
 #: Tokens after which a shard ends (at the end of a document), and bits for each entry of a rank directory.
 SHARD_TOKENS, RANK_BITS = 1 << 13, 512
 #: Pages of few shards, and row groups of a few MB: what reading a token takes from disk.
@@ -113,8 +115,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
             done()
             yield batch()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(shards, SHARD).write.options(**LAYOUT).parquet(f"{path}/shards")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    ranges = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.substring("text", 1, 64))  # keys are sampled by the driver
+    ranges.sortWithinPartitions("doc_id", "text").mapInArrow(shards, SHARD).write.options(**LAYOUT).parquet(f"{path}/shards")
     table = spark.read.schema(SHARD).parquet(f"{path}/shards")
     totals = {r.part: r.n for r in table.groupBy("part").agg(F.max("until").alias("n")).collect()}  # a row for each partition written
     starts = np.cumsum([0, *(totals[p] for p in sorted(totals))]).tolist()
@@ -138,8 +142,7 @@ def read_token(spark: SparkSession, path: str, i: int) -> int:
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), ids (binary, little-endian unsigned 32-bit) of each document at path."""
     table = spark.read.schema(SHARD).parquet(f"{path}/shards").drop("until")
-    parts = {r.part: r.start for r in spark.read.schema(PARTS).parquet(f"{path}/parts").collect()}  # a row for each partition written
-    bases = [parts.get(p, 0) for p in range(max(parts, default=-1) + 1)]
+    parts = spark.read.schema(PARTS).parquet(f"{path}/parts").select("part", "start")  # a row for RANGE_BYTES
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,8 +152,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 starts = ends - row["doc_tokens"]
                 yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array(np.full(len(ends), row["part"], np.int32)), pa.array(starts + row["before"]), pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], schema=READ_ARROW)
 
-    base = F.element_at(F.array(*[F.lit(x).cast("long") for x in bases or [0]]), F.col("part") + 1)
-    return table.mapInArrow(documents, "doc_id long, part int, before long, ids binary").select("doc_id", (F.col("before") + base).alias("start"), "ids")
+    found = table.mapInArrow(documents, "doc_id long, part int, before long, ids binary").join(F.broadcast(parts), "part")
+    return found.select("doc_id", (F.col("before") + F.col("start")).alias("start"), "ids")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
