@@ -126,7 +126,7 @@ def token_counts(docs: DataFrame, column: str, sets: list[Windows]) -> list[np.n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [np.zeros(len(t.keys), np.int64) for _, t in shared.value]
         for block in T.blocks(batches, column):
-            hashes, _, _ = T.words(*T.text_bytes(block[column]), T.ALNUM)
+            hashes = T.words(*T.text_bytes(block[column]), T.ALNUM)[0]
             for (size, tokens), c in zip(shared.value, counts, strict=True):
                 np.add.at(c, tokens.find(T.shingles(hashes, size))[1], 1)
         for i, c in enumerate(counts):
@@ -183,7 +183,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, column: str = "text", w
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for block in T.blocks(batches, column):
                 data, offsets = T.text_bytes(block[column])
-                hashes, starts, _ = T.words(data, offsets, T.ALNUM)
+                hashes, starts = T.words(data, offsets, T.ALNUM)[:2]
                 first = T.firsts(starts, offsets)
                 change = np.zeros(len(hashes) + 1, np.int64)
                 items: dict[int, set[str]] = {}

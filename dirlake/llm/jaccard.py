@@ -48,7 +48,7 @@ def packed(rows: list[tuple]) -> pa.RecordBatch:
 def document_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of a block of texts, sorted by text and hash, and the text of each."""
     data, offsets = T.text_bytes(column)
-    words, starts, _ = T.words(data, offsets, T.SPACED)
+    words, starts = T.words(data, offsets, T.SPACED)[:2]
     first = T.firsts(starts, offsets)
     doc = np.repeat(np.arange(len(column)), np.diff(first))
     hashes = T.shingles(words, size)

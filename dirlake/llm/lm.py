@@ -30,6 +30,8 @@ BEGIN, END = np.uint64(0x5BF03635D1E2A3B1), np.uint64(0xC2B2AE3D27D4EB4F)
 LOW = np.uint64((1 << 48) - 1)
 #: Bytes of text that are counted at once, that a part of the model stands for (about), and that are scored at once.
 COUNT_BYTES, PART_BYTES, SCORE_BYTES = 8 << 20, 32 << 20, 2 << 20
+#: Tokens of a long text that are counted or scored at once.
+TOKENS_AT_ONCE = 1 << 20
 PACKED = "part int, a binary, b binary, c binary, d binary"
 PACKED_ARROW = pa.schema([("part", pa.int32()), *((x, pa.binary()) for x in "abcd")])
 
@@ -62,7 +64,7 @@ def from_low(data: bytes) -> np.ndarray:
 def token_block(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts and tokens of all texts of a block, and the place of each text's first token and the end."""
     data, offsets = T.text_bytes(column)
-    hashes, starts, _ = T.words(data, offsets, T.SPACED)
+    hashes, starts = T.words(data, offsets, T.SPACED)[:2]
     first = T.firsts(starts, offsets) + np.arange(len(column) + 1)
     tokens = np.full(first[-1], END, np.uint64)
     inner = np.ones(first[-1], bool)
@@ -75,10 +77,14 @@ def token_block(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def counted_blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Contexts and tokens of about COUNT_BYTES of text at once."""
+    """Contexts and tokens of about COUNT_BYTES of text at once; those of a longer text come in several parts."""
     some, size = [], 0
     for block in T.blocks(batches, column):
-        some.append(token_block(block[column])[:2])
+        own = token_block(block[column])[:2]
+        while len(own[0]) > 2 * TOKENS_AT_ONCE:
+            yield tuple(x[:TOKENS_AT_ONCE] for x in own)
+            own = tuple(x[TOKENS_AT_ONCE:] for x in own)
+        some.append(own)
         size += pa.compute.sum(pa.compute.binary_length(block[column])).as_py() or 0
         if size >= COUNT_BYTES:
             yield tuple(np.concatenate(x) for x in zip(*some, strict=True))
@@ -306,7 +312,8 @@ def score(docs: DataFrame, model: dict, column: str = "text") -> DataFrame:
         model = shared.value
         for block in T.blocks(batches, column, SCORE_BYTES):
             u, v, first = token_block(block[column])
-            logs, counts = log_probabilities(model, u, v)
+            parts = [slice(at, at + TOKENS_AT_ONCE) for at in range(0, len(v), TOKENS_AT_ONCE)]
+            logs, counts = (np.concatenate(x) for x in zip(*(log_probabilities(model, u[s], v[s]) for s in parts), strict=True))
             base = np.log10((counts + 1) / (model["tokens"] + model["vocabulary"] + 1))
             rows = len(first) - 1
             sums = [np.add.reduceat(x, first[:-1]) for x in (counts > 0, base, logs)]

@@ -53,20 +53,27 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Text, first window (in data), number of windows and anchor hash of each run."""
-    if len(data) < length:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
-    sums = T.prefix_sums(data)
-    at = np.arange(len(data) - gram + 1)
-    hashes = T.span_hashes(sums, slice(0, len(at)), slice(gram, None))
-    least = sliding_least(hashes & ~np.uint64(0xFFFFFFFF) | at.astype(np.uint64), length - gram + 1)
-    anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    sizes = np.maximum(0, np.diff(offsets) - length + 1)
-    x = spread(offsets[:-1], sizes)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    own = anchor[x]
-    new = np.nonzero(np.diff(own, prepend=-1) | np.diff(text, prepend=-1))[0]
-    return text[new], x[new], np.diff(new, append=len(x)), hashes[own[new]].view(np.int64)
+    """Text, first window (in data), number of windows and anchor hash of each run.
+
+    Anchors are found in pieces of data, so that a long text takes memory for one piece and for its runs.
+    """
+    found = [tuple(np.empty(0, np.int64) for _ in range(5))]
+    for low in range(0, len(data) - length + 1, T.PIECE_BYTES):
+        piece = data[low : low + T.PIECE_BYTES + length - 1]
+        at = np.arange(len(piece) - gram + 1)
+        hashes = T.span_hashes(T.prefix_sums(piece), slice(0, len(at)), slice(gram, None))
+        least = sliding_least(hashes & ~np.uint64(0xFFFFFFFF) | at.astype(np.uint64), length - gram + 1)
+        anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        begin = np.maximum(offsets[:-1] - low, 0)
+        sizes = np.maximum(0, np.minimum(offsets[1:] - low - length + 1, len(anchor)) - begin)
+        x = spread(begin, sizes)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        own = anchor[x]
+        new = np.nonzero(np.diff(own, prepend=-1) | np.diff(text, prepend=-1))[0]
+        found.append((text[new], x[new] + low, np.diff(new, append=len(x)), hashes[own[new]].view(np.int64), own[new] + low))
+    text, x, size, hashes, own = (np.concatenate(z) for z in zip(*found, strict=True))
+    new = np.nonzero(np.diff(own, prepend=-1) | np.diff(text, prepend=-1))[0]  # a run that goes on in the next piece is one
+    return text[new], x[new], np.add.reduceat(size, new) if len(new) else size, hashes[new]
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -266,17 +273,18 @@ def remove_repeats(docs: DataFrame, column: str = "text", length: int = 400, gra
         for block in T.blocks(batches, "text"):
             data, offsets = T.text_bytes(block["text"])
             rows = []
-            for i, (doc_id, own) in enumerate(zip(block["doc_id"].to_pylist(), block["spans"].to_pylist(), strict=True)):
-                raw = data[offsets[i] : offsets[i + 1]]
-                if not own:
+            for i, doc_id in enumerate(block["doc_id"].to_pylist()):
+                raw, own = data[offsets[i] : offsets[i + 1]], block["spans"][i].values
+                if own is None or not len(own):
                     rows.append((doc_id, len(raw), [], raw.tobytes()))
                     continue
-                change = np.zeros(len(raw) + 2, np.int64)
-                np.add.at(change, [s["lo"] + 1 for s in own], 1)
-                np.add.at(change, [s["hi"] + 1 for s in own], -1)
-                gone = np.cumsum(change) > 0
-                edges = np.nonzero(gone[1:] != gone[:-1])[0].reshape(-1, 2)
-                rows.append((doc_id, len(raw), edges.tolist(), raw[~gone[1:-1]].tobytes()))
+                lo, hi = (own.field(c).to_numpy() for c in ("lo", "hi"))
+                by = np.argsort(lo)
+                lo, reach = lo[by], np.maximum.accumulate(hi[by])
+                new = np.concatenate([[0], np.nonzero(lo[1:] > reach[:-1])[0] + 1])
+                edges = np.stack([lo[new], reach[np.append(new[1:], len(lo)) - 1]], axis=1)
+                stay = zip([0, *edges[:, 1].tolist()], [*edges[:, 0].tolist(), len(raw)], strict=True)
+                rows.append((doc_id, len(raw), edges.tolist(), b"".join(raw[a:z].tobytes() for a, z in stay)))
             ids, n, removed, kept = zip(*rows, strict=True)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 

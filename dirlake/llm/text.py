@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once; a longer document makes a block of its own.
+#: Bytes of text handled at once. A longer document makes a block of its own, which is hashed by pieces of PIECE_BYTES.
 BLOCK_BYTES = 1 << 20
+PIECE_BYTES = 1 << 20
 PRIME = np.uint64((1 << 61) - 1)
 BASE = 0x9E3779B97F4A7C15 % int(PRIME)
 #: Bytes whose sums are exact in 64 bits.
@@ -91,9 +92,14 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
+def span_sums(sums: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
+    """Hashes of spans before their bits are spread: that of a + b is that of a plus BASE^len(a) times that of b."""
     gap = sums[ends] - sums[starts]
-    return mix(product(np.minimum(gap, gap + PRIME), powers(len(sums))[1][starts]))
+    return product(np.minimum(gap, gap + PRIME), powers(len(sums))[1][starts])
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
+    return mix(span_sums(sums, starts, ends))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,24 +135,62 @@ def letters(separators: Iterable[int]) -> np.ndarray:
     return out
 
 
+def cut_at_spaces(data: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[np.ndarray]:
+    """Pieces of a text in UTF-8, cut before ASCII white space; of limit bytes at most, unless there is none for as long."""
+    at = 0
+    while len(data) - at > limit:
+        low, to = at + max(1, limit // 2), at + limit
+        space = np.nonzero(WHITE[data[low:to]])[0]
+        if len(space):
+            to = low + int(space[-1])
+        else:
+            while to < len(data) and not WHITE[data[to : to + limit]].any():
+                to += limit
+            to = to + int(WHITE[data[to : to + limit]].argmax()) if to < len(data) else len(data)
+        yield data[at:to]
+        at = to
+    yield data[at:]
+
+
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 13, 32]] = True
 #: Words are all but the bytes of these ASCII characters; bytes of other characters are always part of words.
 SPACED = letters([0x20, *range(0x09, 0x0E)])
 ALNUM = letters([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word (A-Z as a-z), and the starts and ends of the words in data; words end where their text ends."""
-    if not len(data):
-        none = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), none, none
+    """Hash of each word (A-Z as a-z), and the starts and ends of the words in data; words end where their text ends.
+
+    Besides what it returns this takes memory for one piece of data; a word that goes on in the next piece is put together.
+    """
+    found: list[tuple] = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    for at in range(0, len(data), PIECE_BYTES):
+        sums, starts, ends = piece_words(data[at : at + PIECE_BYTES], offsets - at, table)
+        starts += at
+        ends += at
+        before = found[-1]
+        if len(starts) and len(before[2]) and starts[0] == at == before[2][-1] and offsets[np.searchsorted(offsets, at)] != at:
+            size = pow(BASE, int(at - before[1][-1]), int(PRIME))
+            before[0][-1] = (int(before[0][-1]) + size * int(sums[0])) % int(PRIME)
+            before[2][-1] = ends[0]
+            sums, starts, ends = sums[1:], starts[1:], ends[1:]
+        if len(starts):
+            found.append((sums, starts, ends))
+    sums, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+    return mix(sums), starts, ends
+
+
+def piece_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums (not spread), starts and ends of what lies in data of the words."""
     data = LOWER[data]
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = table[data]
     edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
+    edge[offsets[np.searchsorted(offsets, 0) : np.searchsorted(offsets, len(data), side="right")]] = True
     starts = np.nonzero(inside[1:] & (~inside[:-1] | edge))[0]
     ends = np.nonzero(inside[:-1] & (~inside[1:] | edge))[0]
-    return span_hashes(prefix_sums(data), starts, ends), starts, ends
+    return span_sums(prefix_sums(data), starts, ends), starts, ends
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -95,7 +95,14 @@ class WordEncoder:
         self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, column: pa.Array) -> list[bytes]:
-        """Ids of each text of a string column; null counts as empty."""
+        """Ids of each text of a string column; null counts as empty. A long text is encoded by pieces, cut before white space."""
+        data, offsets = T.text_bytes(column)
+        if not len(data) or np.diff(offsets).max() <= T.PIECE_BYTES:
+            return self.encode_block(column)
+        texts = (data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+        return [b"".join(self.encode_block(pa.array([x.tobytes()], pa.binary()).cast(pa.string()))[0] for x in T.cut_at_spaces(text, T.PIECE_BYTES)) for text in texts]
+
+    def encode_block(self, column: pa.Array) -> list[bytes]:
         data, offsets = T.text_bytes(column)
         out = [b""] * len(column)
         if not len(data):

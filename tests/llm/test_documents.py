@@ -666,3 +666,48 @@ def test_hashes_of_words():
     hashes, starts, ends = T.words(*T.text_bytes(pa.array(texts)), T.SPACED)
     assert (hashes[0], hashes[1]) == (hashes[2], hashes[3]) and len(set(hashes.tolist())) == 3
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0" and (ends > starts).all()
+
+
+def test_words_by_pieces(monkeypatch):
+    """Words, runs and token ids are the same however small the pieces of a text."""
+    from dirlake.llm import text as T
+
+    r = random.Random(31)
+    texts = [None, "", "x" * 50, *("".join(r.choice("abÉ \n,9") for _ in range(n)) for n in (1, 7, 40, 300)), "ab " * 30, "", "end"]
+    block = T.text_bytes(pa.array(texts))
+    whole = [[x.tolist() for x in T.words(*block, table)] for table in (T.SPACED, T.ALNUM)]
+    runs = [x.tolist() for x in substrings.anchored_runs(*block, 12, 4)]
+    coder = tokens.WordEncoder(tokens.default_path())
+    ids = coder.encode(pa.array(texts + ODD))
+    for piece in (1, 2, 3, 7, 16, 64):
+        monkeypatch.setattr(T, "PIECE_BYTES", piece)
+        assert [[x.tolist() for x in T.words(*block, table)] for table in (T.SPACED, T.ALNUM)] == whole
+        assert [x.tolist() for x in substrings.anchored_runs(*block, 12, 4)] == runs
+        assert coder.encode(pa.array(texts + ODD)) == ids
+        assert all(b"".join(x.tobytes() for x in T.cut_at_spaces(np.frombuffer((t or "").encode(), np.uint8), piece)) == (t or "").encode() for t in texts)
+
+
+def test_lm_of_long_texts(spark, monkeypatch):
+    rows = corpus(12)
+    df = spark.createDataFrame(rows, DOCS)
+
+    def scores():
+        return sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(df, lm.train(df.select("text"))).collect())
+
+    whole = scores()
+    monkeypatch.setattr(lm, "TOKENS_AT_ONCE", 37)
+    u, v, _ = lm.token_block(pa.array([x for _, x in rows]))
+    parts = list(lm.counted_blocks(iter([pa.record_batch([pa.array([x for _, x in rows])], names=["text"])]), "text"))
+    assert max(len(x) for x, _ in parts) <= 74 and (np.concatenate([x for x, _ in parts]) == u).all() and (np.concatenate([x for _, x in parts]) == v).all()
+    assert scores() == whole
+
+
+def test_letters_of_other_scripts():
+    hindi, turkish = "हिन्दी में किताब और पानी " * 20, "İstanbul'da ılık IRMAK İyi " * 20
+    model = langid.fit({"hi": hindi, "tr": turkish})
+    gaps = lambda x: int((langid.folded(model.fold, [x])[0] == 0).sum())
+    assert gaps("हिन्दी में") == 1 and gaps("İstanbul") == 0
+    assert (model.fold[ord("İ")] == model.fold[ord("i")]) and model.fold[ord("ﬁ")] == model.fold[ord("f")]
+    same = [langid.folded(model.fold, [x])[0].tolist() for x in ("é", "é")]
+    assert same[0] == same[1]
+    assert not model.letters[langid.folded(model.fold, ["́ ि"])[0]].any()
