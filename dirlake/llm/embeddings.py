@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -108,6 +108,11 @@ def block_links(x: np.ndarray, lists: np.ndarray, here: int, chunk: np.ndarray,
     return linked
 
 
+def vector_key(label: str, embedding: str) -> list[Column]:
+    """128 bits that tell a vector of a label."""
+    return [F.xxhash64(label, embedding), F.xxhash64(F.lit(1), label, embedding)]
+
+
 def similar_vectors(vectors: DataFrame, least: float = 0.93, words: int | None = None, listed: int = 48, block: int = 256) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of vectors (vec_id, embedding, label); other columns are left out.
 
@@ -119,9 +124,10 @@ def similar_vectors(vectors: DataFrame, least: float = 0.93, words: int | None =
     kind = "<f8" if "array<double>" in vectors.schema["embedding"].dataType.simpleString() else "<f4"
     vectors = vectors.select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
     usable = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.withColumn("node", F.when(F.coalesce(usable, F.lit(False)), F.xxhash64("label", "embedding")))
-    copies = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    copies = written(copies, "vectors")
+    usable = F.coalesce(usable, F.lit(False))
+    rows = vectors.withColumns({x: F.when(usable, h) for x, h in zip(("key", "check"), vector_key("label", "embedding"), strict=True)})
+    copies = rows.where("key is not null").groupBy("key", "check").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    copies = written(copies.withColumn("node", F.monotonically_increasing_id()), "vectors")
     if words is None:
         words = words_for(copies.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
 
@@ -188,7 +194,8 @@ def similar_vectors(vectors: DataFrame, least: float = 0.93, words: int | None =
     of = nodes.select("node", "copies", "vec_id").join(n_links, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = written(of, "components")
     of = of.join(of.groupBy("component").agg(F.min("vec_id").alias("component_id")), "component").select("node", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("vec_id", "node").join(of, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    of = of.join(copies.select("node", "key", "check"), "node")
+    out = rows.select("vec_id", "key", "check").join(of, ["key", "check"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

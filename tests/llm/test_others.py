@@ -78,6 +78,16 @@ def test_embeddings(spark, kind):
     assert embeddings.similar_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_that_collide(spark, monkeypatch):
+    """Vectors of one 64-bit key are told by the other 64 bits."""
+    rows = [(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (3, [1.0, 0.0], 0), (4, [1.0, 0.0], 1), (5, [-1.0, 0.0], 0), (6, None, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    whole = embeddings.vector_key
+    monkeypatch.setattr(embeddings, "vector_key", lambda *x: [F.lit(7).cast("long"), whole(*x)[1]])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.similar_vectors(df).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6)}
+
+
 def test_full_filter_is_cut_into_chunks(spark, monkeypatch):
     r = np.random.default_rng(9)
     x = r.normal(size=(1, 16))
