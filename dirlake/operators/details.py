@@ -113,7 +113,7 @@ def company_details(entities: DataFrame, meta: DataFrame, fields: Sequence[str]
 
 def related_news(entities: DataFrame, meta: DataFrame) -> DataFrame:
     """id, pos, news_id, title: the news that companies list, in list order; unknown ids and repeats are left out."""
-    own = attributes(entities.where("post_type = 'company'").select("id"), meta, ["related_news_ids"])
+    own = attributes(entities.where("post_type = 'company'").select("id").distinct(), meta, ["related_news_ids"])
     lists = own.select("id", F.transform(F.coalesce(F.from_json("related_news_ids", "array<string>"), F.array().cast("array<string>")), lenient_int).alias("ids"))
     news = entities.where("post_type = 'post' and status = 'publish'").select(F.col("id").alias("news_id"), "title")
     return ordered_lookup(lists, "id", "ids", news, "news_id")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .keys import with_keys
 
+#: Rows of a task, about, where rows are dealt out by a key.
+ROWS = 1 << 17
+
 
 def recent(entities: DataFrame, date: str, key: str, limit: int = 50) -> DataFrame:
     """The newest entities, ties by the larger key."""
@@ -21,9 +24,19 @@ def page(entities: DataFrame, date: str, key: str, size: int, after: tuple[Colum
     return recent(entities, date, key, size)
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt out by key to tasks of about ROWS rows, so that what a task sorts or groups by it doesn't grow with the table."""
+    return rows.repartition(max(1, -(-rows.count() // ROWS)), key)
+
+
 def ordered_lookup(lists: DataFrame, owner: str, ids: str, targets: DataFrame, target: str) -> DataFrame:
-    """owner, pos and the target's columns for each id in an array; of repeated ids the first place counts."""
-    places = lists.select(owner, F.posexplode(ids).alias("pos", target)).groupBy(owner, target).agg(F.min("pos").alias("pos"))
+    """owner, pos and the target's columns for each id in an array; of repeated ids the first place counts.
+
+    lists has one row an owner. Repeats are found within the array, so a task holds one list, not a table of all places.
+    """
+    sorted_places = F.array_sort(F.transform(ids, lambda x, i: F.struct(x.alias("id"), i.alias("pos"))))
+    firsts = F.transform(F.array(sorted_places), lambda x: F.filter(x, lambda e, i: (i == 0) | ~e["id"].eqNullSafe(F.get(x, i - 1)["id"])))[0]  # the outer array: x is made once
+    places = lists.select(owner, F.inline(firsts).alias(target, "pos"))
     return places.join(targets, target).select(owner, "pos", *targets.columns)
 
 

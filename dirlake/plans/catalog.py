@@ -101,7 +101,8 @@ def fallback_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, cast(pos AS integer) AS pos, p_partkey, p_name FROM (SELECT l_orderkey, l_partkey, min(rn) - 1 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem) GROUP BY 1, 2) JOIN part ON l_partkey = p_partkey")
 def ordered_related(spark: SparkSession, d: str) -> DataFrame:
-    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
+    lines = listing.dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey")
+    lists = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
     lists = lists.select("l_orderkey", F.col("x.l_partkey").alias("ids"))
     return listing.ordered_lookup(lists, "l_orderkey", "ids", table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey")
 
@@ -397,7 +398,8 @@ def get_or_create(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, max(CASE WHEN l_partkey = l_orderkey % 50 + 1 THEN 1 ELSE 0 END) = 1 AS listed FROM lineitem GROUP BY 1")
 def in_list(spark: SparkSession, d: str) -> DataFrame:
-    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("ids"))
+    lines = listing.dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey")
+    lists = lines.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("ids"))
     return lists.select("l_orderkey", S.listed(F.col("ids"), F.col("l_orderkey") % 50 + 1).alias("listed"))
 
 

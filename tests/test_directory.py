@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dirlake.functions import scalar as S
 from dirlake.operators import details, ingest, listing, meta, submit, terms
+from dirlake.plans import catalog
 from dirlake.sources.csv import parse_lines, read_locations
 from dirlake.sources.schema import ENTITY, ENTITY_META, TERM
 
@@ -161,6 +162,18 @@ def test_company(spark):
     assert [(r.pos, r.news_id) for r in details.related_news(entities, attributes).orderBy("pos").collect()] == [(0, 7), (1, 5)]
 
 
+def test_ordered_lookup(spark, monkeypatch):
+    """Of repeated ids the first place counts; what a task groups doesn't grow with the table."""
+    rows = [(1, [7, None, 5, 7, 9, 5]), (2, []), (3, None), (4, [(i * i) % 101 for i in range(3000)])]
+    targets = spark.createDataFrame([(i, f"n{i}") for i in range(101) if i != 9], "news_id long, title string")
+    got = listing.ordered_lookup(spark.createDataFrame(rows, "id long, ids array<long>"), "id", "ids", targets, "news_id").collect()
+    assert sorted(map(tuple, got)) == sorted((o, x.index(i), i, f"n{i}") for o, x in rows for i in set(x or []) - {9, None})
+    monkeypatch.setattr(listing, "ROWS", 500, raising=False)
+    related = catalog.ordered_related(spark, "/root/testdata/sf0.001")
+    tasks = [r["count"] for r in related.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(tasks) > 5000 and max(tasks) < 1500
+
+
 @pytest.mark.parametrize("size", [1, 7, 50])
 def test_batches(spark, size):
     rows = spark.createDataFrame([(i * i,) for i in range(137)], "k long").repartition(5)
