@@ -13,6 +13,8 @@ hash. No step makes all pairs of a band. Each component of linked lines keeps it
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from .components import components
 from .storage import bucketed, written
 
 #: Bands of long shingles, and places whose hashes are compared before they meet the minima of their line.
-BANDS, AT_ONCE = 12, 8
+BANDS, AT_ONCE = 12, 4
 #: Lines of fewer characters than FEW have bands of five-character shingles too; so do those made of repetitions, those of no more
 #: than four different characters in one of the stretches looked at, and those of LONG characters with no more than LETTERS.
 FEW, LONG, LETTERS = 64, 4096, 12
@@ -28,9 +30,11 @@ STRETCHES = r"(?s)(.{20}).{0,80}"
 FOUR_LETTERS = r"(?s)^(.)\1*+(?:(.)(?:\1|\2)*+(?:(.)(?:\1|\2|\3)*+(?:(.)(?:\1|\2|\3|\4)*+)?+)?+)?+$"
 
 
-def plain(line: Column) -> Column:
-    """What of a line is compared."""
-    return F.lower(F.btrim(line, F.lit(" \t\r")))
+def trimmed(line: Column) -> Column:
+    """The line without blanks at its ends; btrim goes through all of a line, so it sees only those that have some."""
+    blanks = " \t\r"
+    some = [f(line, F.lit(c)) for f in (F.startswith, F.endswith) for c in blanks]
+    return F.when(reduce(Column.__or__, some), F.btrim(line, F.lit(blanks))).otherwise(line)
 
 
 def line_id(line: Column) -> Column:
@@ -47,7 +51,9 @@ def shingles(line: Column, size: int) -> Column:
 
 def has_few(line: Column) -> Column:
     """Whether a line is short, or little is left without the string that it begins with, or it is of few letters somewhere."""
-    rest = [F.char_length(F.replace(line, F.substring(line, 1, n), F.lit(""))) < FEW for n in (5, 12)]
+    first = lambda n: F.substring(line, 1, n)
+    again = lambda n: (F.char_length(line) < FEW + 2 * n) | F.contains(F.substring(line, n + 1, FEW + n - 1), first(n))  # noqa: E731  (else FEW of these stay)
+    rest = [again(n) & (F.char_length(F.replace(line, first(n), F.lit(""))) < FEW) for n in (5, 12)]
     stretch = F.exists(F.regexp_extract_all(line, F.lit(STRETCHES), F.lit(1)), lambda x: x.rlike(FOUR_LETTERS))
     plain = F.when(F.char_length(line) >= LONG, F.size(F.array_distinct(F.split(line, ""))) <= LETTERS).otherwise(F.lit(False))
     return (F.char_length(line) < FEW) | rest[0] | rest[1] | stretch | plain
@@ -83,18 +89,20 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 1, size: int = 5, percent:
     doc_id (null first), key and place. Lines of fewer than size characters have no shingle and match equal ones only. Lines are told
     by 64 bits; one whose other 64 bits aren't those of the line that stands for its group stays in any case.
     """
-    lines = docs.select("key", "doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("key", "doc_id", "place", plain(F.col("line")).alias("line"))
+    lines = docs.select("key", "doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("place", "line")).select("key", "doc_id", "place", trimmed(F.col("line")).alias("line"))
     lines = lines.where(F.char_length("line") >= min_chars).select("key", "doc_id", "place", "line", line_id(F.col("line")).alias("id"), F.xxhash64(F.lit(1), "line").alias("check"))
     distinct = lines.groupBy("id").agg(F.min(F.struct("doc_id", "key", "place", "line")).alias("first"), F.count("*").alias("copies"))
     distinct = bucketed(distinct.select("id", "copies", F.struct("first.doc_id", "first.key", "first.place").alias("first"), "first.line"), "lines", "id")
     texts = distinct.select("id", "line")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.toDF("a", "b").distinct(), "line-pairs")
+    def verified(pairs: DataFrame, but: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The linked ones of pairs, and all that were compared: each once, in one direction, and none of but."""
+        pairs = pairs.toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = written(pairs if but is None else pairs.join(but, ["a", "b"], "left_anti"), "line-pairs")
         both = pairs.join(texts.toDF("b", "line_b"), "b").join(texts.toDF("a", "line_a"), "a")
         both = both.select("a", "b", shingles(F.col("line_a"), size).alias("x"), shingles(F.col("line_b"), size).alias("y"))
         both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), F.size(F.array_union("x", "y")).alias("all"))
-        return written(both.where(f"shared * 100 >= all * {percent}").select("a", "b"), "line-links", (pairs,))
+        return written(both.where(f"shared * 100 >= all * {percent}").select("a", "b"), "line-links"), pairs
 
     def mixed(entries: DataFrame, links: DataFrame) -> DataFrame:
         """Entries of the bands whose lines aren't all in one component, with it (c)."""
@@ -108,12 +116,12 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 1, size: int = 5, percent:
     rank = F.shiftleft(F.least("copies", F.lit((1 << 20) - 1)), 40).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 40) - 1)))  # more copies first
     entries = written(entries.join(met, "band").select("id", "band", rank.alias("rank")), "bands", (signed,))
     entries = written(led(entries, F.col("rank")), "led", (entries,))
-    links = verified(entries.where("id <> leader").select("leader", "id"))
+    links, compared = verified(entries.where("id <> leader").select("leader", "id"))
     left = mixed(entries.where("m > 2"), links)
     both = left.groupBy("id", "c").agg(F.sort_array(F.collect_list("band")).alias("bands"))  # at most a line's bands
     both = both.select("id", "c", F.explode(F.flatten(F.transform("bands", lambda x, i: F.transform(F.slice("bands", i + 2, F.size("bands")), lambda y: F.xxhash64(x, y))))).alias("band"))
     more = led(both, F.xxhash64("id", "band")).where("c <> leader_c").select("leader", "id")
-    joined = components(links.union(verified(more)))
+    joined = components(links.union(verified(more, compared)[0]))
 
     own = distinct.select("id", "copies", "first", F.xxhash64(F.lit(1), "line").alias("of"))
     of = own.join(joined, "id")

@@ -502,6 +502,27 @@ def test_lines_of_few_letters(spark, letters):
     assert not gone - want and len(gone) >= 0.9 * len(want) and len(want) >= 50
 
 
+def test_lines_are_compared_once(spark, monkeypatch):
+    """No pair of lines is compared in both directions, or again in the second round."""
+    pairs, keep = [], lines.written
+
+    def kept(df, name, *rest):
+        out = keep(df, name, *rest)
+        if name == "line-pairs":
+            pairs.extend(tuple(sorted(r)) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(lines, "written", kept)
+    r, rows = random.Random(5), []
+    for _ in range(6):
+        words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(30)]
+        for _ in range(16):  # a family of lines that share some parts, most of them too few
+            own = [w if r.random() < 0.85 else "".join(r.choice("klmnop") for _ in range(6)) for w in words]
+            rows.append((len(rows), " ".join(own)))
+    gone, want = gone_lines(spark, rows), brute_all_lines(rows)
+    assert gone <= want and pairs and len(pairs) == len(set(pairs))
+
+
 def test_lines_that_collide(spark, monkeypatch):
     """Different lines of one number: none goes for another's sake."""
     monkeypatch.setattr(lines, "line_id", lambda line: F.pmod(F.xxhash64(line), F.lit(16)))
